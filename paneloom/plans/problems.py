@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paneloom.functions.columns import clean_text
+from paneloom.functions.columns import clean_text, finite
 from paneloom.operators.asof import known_at
 from paneloom.operators.features import as_of_features, cumulative_store, daily_totals, item_type, wide_features
+from paneloom.operators.impute import fill_missing, fit_tree
 from paneloom.operators.history import fill_from_neighbours, latest_delivery, snapshot_changes, version_history
+from paneloom.session import materialize
 from paneloom.sources import table
 
 SPAN = ("2015-01-01", "2026-09-01")
@@ -96,7 +98,51 @@ def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
     return changes.groupBy("step", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_windows, p3_found, p3_attributes, p5_found, p5_changes)}
+#: Fields of the dependency tree over the panel; numeric ones with their number of bins.
+TREE_NUMERIC = {"beta_60m": 24, "own_beta": 24, "ivol_capm_252d": 8, "dolvol_126d": 8, "age": 8}
+TREE_CATEGORICAL = ("gics", "own_gics", "size_grp", "year")
+
+
+def panel_with_context(panel: DataFrame, codes: DataFrame) -> DataFrame:
+    """Panel rows with usable ``beta_60m`` and ``gics`` (else null) and what the security's other rows say: ``own_beta``,
+    the mean of the usable betas of its nearest year that has some (the row's own left out), and ``own_gics``, that year's
+    most frequent code. Only one row per security and year is windowed, so a hot security costs no more than its years."""
+    beta = F.when(F.abs(finite("beta_60m")) <= 10, F.col("beta_60m"))
+    valid = F.broadcast(codes.select(F.col("gics").alias("code")).distinct())  # a fixed table: the valid codes of the classification
+    rows = panel.withColumn("beta_60m", beta).withColumn("code_asked", F.trim("gics")).join(valid, F.col("code_asked") == F.col("code"), "left")
+    rows = rows.withColumn("gics", F.col("code")).withColumn("year", F.year("eom")).drop("code", "code_asked")
+
+    by_code = rows.groupBy("permno", "year", "gics").agg(F.count(F.lit(1)).alias("n"), F.sum("beta_60m").alias("total"), F.count("beta_60m").alias("betas"))
+    mode = F.max(F.when(F.col("gics").isNotNull(), F.struct("n", "gics")))["gics"]
+    yearly = by_code.groupBy("permno", "year").agg(F.sum("total").alias("total"), F.sum("betas").alias("betas"), mode.alias("mode"))
+    w = Window.partitionBy("permno").orderBy("year")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    mean = F.when(F.col("betas") > 0, F.col("total") / F.col("betas"))
+    near = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead))
+    yearly = yearly.withColumn("mean", mean).select(F.col("permno").alias("p"), F.col("year").alias("y"), "total", "betas", "mode", near("mean").alias("near_beta"), near("mode").alias("near_gics"))
+    out = rows.join(yearly, F.col("permno").eqNullSafe(F.col("p")) & F.col("year").eqNullSafe(F.col("y")), "left")
+    others = F.col("betas") - F.col("beta_60m").isNotNull().cast("int")
+    own = F.when(others > 0, (F.col("total") - F.coalesce("beta_60m", F.lit(0.0))) / others)
+    return out.select(*rows.columns, F.coalesce(own, "near_beta").alias("own_beta"), F.coalesce("mode", "near_gics").alias("own_gics"))
+
+
+def p4_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """All delivered rows, each once, with filled ``beta_60m`` and ``gics`` and marks on the filled cells."""
+    panel = table(spark, folder, "chars_final_with_names", ["permno", "eom", "delivery_id", "beta_60m", "gics", "ivol_capm_252d", "dolvol_126d", "age", "size_grp"])
+    rows = materialize(panel_with_context(panel, table(spark, folder, "gics_codes")), "panel")
+    tree = fit_tree(rows, TREE_NUMERIC, TREE_CATEGORICAL)
+    filled = fill_missing(rows.select("permno", "eom", "delivery_id", *TREE_NUMERIC, *TREE_CATEGORICAL), tree, ["beta_60m", "gics"])
+    return filled.select("permno", "eom", "delivery_id", "beta_60m", "gics", "beta_60m_filled", "gics_filled").distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    filled = p4_fill(spark, folder)
+    names = F.array(*[F.when(F.col(f"{c}_filled"), F.lit(c)) for c in ("beta_60m", "gics")])
+    cells = filled.select("permno", F.date_format("eom", "yyyy-MM-dd").alias("eom"), "delivery_id", F.explode(names).alias("field_name"))
+    return cells.where(F.col("field_name").isNotNull()).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_windows, p3_found, p3_attributes, p4_found, p4_fill, p5_found, p5_changes)}
 
 _TYPED = r"""
 typed AS (
@@ -156,6 +202,10 @@ PIVOT features ON t USING coalesce(first(n), 0) AS n, first(newest) AS newest, c
         join="LEFT",
         columns="document_id, permno, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date, strftime(eom, '%Y-%m-%d') AS eom, delivery_id, gvkey, iid, gics, size_grp, me, prc, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at",
     ),
+    "p4_found": """SELECT DISTINCT permno, strftime(eom, '%Y-%m-%d') AS eom, delivery_id, 'beta_60m' AS field_name FROM chars_final_with_names
+  WHERE beta_60m IS NULL OR isnan(beta_60m) OR abs(beta_60m) > 10
+UNION ALL SELECT DISTINCT permno, strftime(eom, '%Y-%m-%d'), delivery_id, 'gics' FROM chars_final_with_names
+  WHERE gics IS NULL OR trim(gics) NOT IN (SELECT gics FROM gics_codes)""",
     "p5_found": f"""WITH {_FINAL},
 marked AS (SELECT *, CASE WHEN (gvkey, iid, ticker) IS NOT DISTINCT FROM lag((gvkey, iid, ticker)) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS starts
   FROM filled WINDOW w AS (PARTITION BY permno ORDER BY eom)),
