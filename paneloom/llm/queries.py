@@ -1,6 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from paneloom.llm import panel
+from paneloom.llm import corpus, panel
 
-QUERIES = {**panel.QUERIES}
-ORACLE = {**panel.ORACLE}
+QUERIES = {**panel.QUERIES, **corpus.QUERIES}
+ORACLE = {**panel.ORACLE, **corpus.ORACLE}
