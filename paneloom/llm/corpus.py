@@ -1,4 +1,4 @@
-"""Queries p7 and p8: packing and mixing the documents."""
+"""Queries p7 to p9: packing and mixing the documents, and their subjects."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paneloom.llm.mixing import make_plan, mixture, shares, source_name
 from paneloom.llm.packing import pack
+from paneloom.llm.subjects import assign_subjects, labelled_sample, train
 from paneloom.llm.tokens import RANKS, count_tokens
 from paneloom.session import materialize
 from paneloom.sources import table
@@ -54,5 +55,22 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(sizes, histogram, plan)
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares)}
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the array of its subjects."""
+    documents = table(spark, folder, "documents", ["doc_id", "text", "source"])
+    model = train(*labelled_sample(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas")))
+    return assign_subjects(documents, model)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_documents(spark, folder).select("doc_id", F.explode("subjects").alias("subject")).distinct()
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Make-up of the corpus: documents by source and subject; a document of several subjects counts in equal parts."""
+    by = p9_documents(spark, folder).select(source_name("source").alias("source"), F.explode("subjects").alias("subject"), (1 / F.size("subjects")).alias("part"))
+    return by.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("part"), 6).alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_documents, p9_composition)}
 ORACLE: dict[str, str] = {}  # token counts can't be expressed in SQL: tests/llm has brute-force versions
