@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from paneloom.plans import problems
+from paneloom.plans import base, cross_section, problems  # noqa: F401  (importing registers the queries)
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **base.QUERIES}
+ORACLE = {**problems.ORACLE, **base.ORACLE}
