@@ -85,16 +85,21 @@ def expanding_past_median(df: DataFrame, time: str, value: str, into: str) -> Da
 
 
 def ema_gap_reset(df: DataFrame, entity: Sequence[str], value: str, alpha: float = 0.5, time: str = "eom", into: str = "smooth") -> DataFrame:
-    """s = alpha z + (1 - alpha) s_before along consecutive months; a month without a row starts anew with s = z. Islands of
-    consecutive months are found by windows and each is folded in the JVM (a few hundred months at most per entity)."""
+    """s = alpha z + (1 - alpha) s_before along consecutive months; a month without a row starts anew with s = z.
+
+    With w = 1 - alpha and k counting months within a run of consecutive ones, s_k = w^k (z_0 + alpha sum z_j w^-j): a running
+    sum, linear in the rows and compiled like any other window. Runs may have up to 300 / -log10(w) months (about a
+    thousand for alpha 0.5); a larger ``alpha`` than 0.68 is refused, as w^-j would leave the range of doubles within 50 years.
+    """
+    if not 0 < alpha <= 0.68:
+        raise ValueError("alpha must be in (0, 0.68]")
     w = along(entity, time)
     gap = F.coalesce(month_number(time) - month_number(F.lag(time).over(w)) != 1, F.lit(True)).cast("int")
-    islands = df.withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = Window.partitionBy(*entity, "_island").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(F.struct(F.col(value).cast("double").alias("z"))).over(upto)
-    start = past[0]["z"]
-    folded = F.aggregate(F.slice(past, 2, F.greatest(F.size(past) - 1, F.lit(0))), start, lambda s, x: F.lit(alpha) * x["z"] + F.lit(1 - alpha) * s)
-    return islands.withColumn(into, folded).drop("_gap", "_island")
+    runs = df.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Window.partitionBy(*entity, "_run").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_k", F.count(F.lit(1)).over(upto) - 1)
+    part = F.col(value).cast("double") * F.pow(F.lit(1 - alpha), -F.col("_k")) * F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
+    return runs.withColumn(into, F.sum(part).over(upto) * F.pow(F.lit(1 - alpha), F.col("_k"))).drop("_gap", "_run", "_k")
 
 
 def wealth(value: str, entity: Sequence[str], time: str = "eom") -> Column:
