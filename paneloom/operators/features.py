@@ -36,8 +36,11 @@ def daily_totals(events: DataFrame, entity: str, types: str, time: str, event_id
     ``types`` is an array of canonical type names. Copies of an event (same id, entity and time) count once, with the
     largest of their totals; without an id, events of one entity, type and time are copies of each other. ``newest_id``
     belongs to the newest time of the day, of equals the smallest. Left out, as they belong to no row: events with a
-    null entity, a null time or no type. Null totals add nothing. No events give no rows.
+    null entity, a null time or no type. Null totals add nothing. No events give no rows. Totals can't be named like the
+    store's own columns.
     """
+    if taken := {"entity", "event_type", "day", "n", "newest", "newest_id"} & {t.lower() for t in totals}:
+        raise ValueError(f"reserved names: {sorted(taken)}")
     e = events.where(F.col(entity).isNotNull() & F.col(time).isNotNull() & (F.size(types) > 0)).select(
         F.col(entity).alias("entity"), F.to_date(time).alias("day"), F.col(time).cast("timestamp").alias("at"), F.col(event_id).alias("id"),
         F.array_distinct(types).alias("types"), *[F.col(c).alias(f"total_{i}") for i, c in enumerate(totals)],

@@ -33,8 +33,10 @@ def snapshot_changes(snapshots: DataFrame, entity: str, period: str, attributes:
     (no row in the snapshot before), ``changed`` (another value in some attribute, null being a value) or ``deleted`` (no
     row any more; also after the last snapshot). ``at`` is the period of the new row and null for deletions, ``seen`` that
     of the old row and null for insertions. One row per entity and snapshot is expected; null entities form one entity;
-    rows with a null period belong to no snapshot and are left out.
+    rows with a null period belong to no snapshot and are left out. Attributes can't be named like the result's own columns.
     """
+    if taken := {"step", "at", "seen", "kind"} & {a.lower() for a in (entity, *attributes)}:
+        raise ValueError(f"reserved names: {sorted(taken)}")
     number = (F.year(period) * 12 + F.month(period)) if step is None else step
     rows = snapshots.where(F.col(period).isNotNull()).select(F.col(entity).alias("_e"), number.alias("_n"), F.col(period).alias("_p"), F.struct(*attributes).alias("_a"))
     new = rows.select(F.col("_e").alias("e1"), F.col("_n").alias("n1"), F.col("_p").alias("p1"), F.col("_a").alias("a1"))

@@ -181,12 +181,10 @@ def fill_missing(df: DataFrame, tree: Tree, targets: Sequence[str], suffix: str
 
     A numeric cell is missing if null, NaN or infinite, a categorical one if null: make other codes for "missing" null
     before. Known cells are kept as they are. A field without any known value in the fitted data cannot be filled: its
-    cells stay missing, without a mark. All rows and all other columns come through; a helper name that clashes with a
-    column of ``df`` is changed, and a mark's name that does raises ValueError.
+    cells stay missing, without a mark. All rows and all other columns come through; a mark whose name is taken by a column
+    of ``df`` gets a leading underscore.
     """
-    marks = [t + suffix for t in targets]
-    if clash := {m.lower() for m in marks} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    marks = fresh(df, *[t + suffix for t in targets])
     index = {f.name: i for i, f in enumerate(tree.fields)}
     helpers = fresh(df, *[f"state_of_{i}" for i in range(len(tree.fields))])
     given = df.select("*", *[F.col(f.name).cast("double" if f.numeric else "string").alias(h) for f, h in zip(tree.fields, helpers)])
