@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paneloom.functions.columns import fresh
+
 #: Up to this many (source, length) pairs the plan of the mixture is broadcast: some 20 MB.
 BROADCAST_PAIRS = 500_000
 
@@ -96,9 +98,10 @@ REPORT = "source string, target_share double, max_repeats int, source_tokens lon
 
 def make_plan(sizes: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[dict, dict, list[dict]]:
     """Histogram, plan and report for documents ``source, n_tokens``. What comes to the driver is the number of documents per
-    listed source and exact length: bounded by sources times the longest text, whatever the number of documents."""
+    listed source and exact length: bounded by sources times the longest text, whatever the number of documents. Targets with a
+    null are none; of several targets of one source the one of largest share holds."""
     spark = sizes.sparkSession
-    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null").orderBy("source").collect()}
+    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share is not null and max_repeats is not null").orderBy("source", "target_share", "max_repeats").collect()}
     listed = sizes.where(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
     rows = listed.groupBy("source", "n_tokens").count().orderBy("source", "n_tokens").toPandas()
     histogram = {s: (g["n_tokens"].to_numpy(), g["count"].to_numpy()) for s, g in rows.groupby("source")}
@@ -117,21 +120,21 @@ def mixture(sizes: DataFrame, histogram: dict, plan: dict, doc_id: str = "doc_id
     Which documents of a length are taken once more is decided by a seeded hash of ``doc_id`` (ties by ``doc_id``). A length
     with many documents is cut into hash ranges of about ``bucket_docs``: ranges below the wanted number are taken whole
     and only one range is ranked, so no length gathers all its documents in one task. Empty texts (no tokens) belong to
-    no share and are left out; so are unlisted and unknown sources.
+    no share and are left out; so are unlisted and unknown sources. Other columns come through; ``copies`` gets a leading
+    underscore if the name is taken.
     """
     spark = sizes.sparkSession
     rows = [(s, int(n), plan[s][0], int(x), max(1, int(-(-c // bucket_docs)))) for s, (lengths, counts) in histogram.items() for n, c, x in zip(lengths, counts, plan[s][1])]
-    table = spark.createDataFrame(rows, "source string, n_tokens long, repeats int, extra long, buckets int")
+    repeats, extra, buckets, h, b, m, before, copies = fresh(sizes, "repeats", "extra", "buckets", "h", "b", "m", "before", "copies")
+    table = spark.createDataFrame(rows, f"source string, n_tokens long, {repeats} int, {extra} long, {buckets} int")
     table = F.broadcast(table) if len(rows) <= BROADCAST_PAIRS else table
-    h = F.xxhash64(F.lit(seed), doc_id)
-    spread = (h.cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")
-    docs = sizes.where(F.col("n_tokens") > 0).join(table, ["source", "n_tokens"]).withColumn("_h", h).withColumn("_b", F.least(F.greatest(spread.cast("int"), F.lit(0)), F.col("buckets") - 1))
+    docs = sizes.where(F.col("n_tokens") > 0).join(table, ["source", "n_tokens"]).withColumn(h, F.xxhash64(F.lit(seed), doc_id))
+    place = ((F.col(h).cast("double") / F.lit(2.0**64) + 0.5) * F.col(buckets)).cast("int")
+    docs = docs.withColumn(b, F.least(F.greatest(place, F.lit(0)), F.col(buckets) - 1))
     # Documents in the hash ranges before each range, for the few lengths that have several.
-    pieces = docs.where("buckets > 1").groupBy("source", "n_tokens", "_b").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(Window.partitionBy("source", "n_tokens").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.select("source", "n_tokens", "_b", F.coalesce(before, F.lit(0)).alias("_before"), "_m")
-    docs = docs.join(pieces, ["source", "n_tokens", "_b"], "left")
-    start = F.coalesce("_before", F.lit(0))
-    rank = start + F.row_number().over(Window.partitionBy("source", "n_tokens", "_b").orderBy("_h", doc_id))
-    copies = F.col("repeats") + (rank <= F.col("extra")).cast("int")
-    return docs.withColumn("copies", copies).where("copies > 0").select(*sizes.columns, "copies")
+    pieces = docs.where(F.col(buckets) > 1).groupBy("source", "n_tokens", b).agg(F.count(F.lit(1)).alias(m))
+    earlier = F.sum(m).over(Window.partitionBy("source", "n_tokens").orderBy(b).rowsBetween(Window.unboundedPreceding, -1))
+    docs = docs.join(pieces.select("source", "n_tokens", b, earlier.alias(before)), ["source", "n_tokens", b], "left")
+    rank = F.coalesce(before, F.lit(0)) + F.row_number().over(Window.partitionBy("source", "n_tokens", b).orderBy(h, doc_id))
+    docs = docs.withColumn(copies, F.col(repeats) + (rank <= F.col(extra)).cast("int"))
+    return docs.where(F.col(copies) > 0).select(*sizes.columns, copies)

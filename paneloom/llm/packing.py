@@ -59,20 +59,18 @@ def pack(items: DataFrame, size: str, capacity: int, order: list[str], open_bins
     Items are spread over shards of about ``shard_items`` by a hash of the ``order`` columns and packed shard by shard in
     the order of another hash, so the result depends only on the items, not on their layout or on lost tasks. Items equal in ``order`` and
     size are interchangeable. Each shard leaves at most ``open_bins`` containers open. Only ``items`` without their texts should come here.
-    ``container`` numbers are unique: shard * 2^32 + number.
+    ``container`` numbers are unique: shard * 2^32 + number. A made column whose name is taken gets a leading underscore.
     """
     rows = items.count() if rows is None else rows
     shards = max(1, -(-rows // shard_items))
     shard, turn, row = fresh(items, "shard", "turn", "row_size")
-    made = ["piece", "offset", "length", "container"]
-    if clash := set(made) & {c.lower() for c in items.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    made = fresh(items, "piece", "offset", "length", "container")
     keyed = items.select("*", F.pmod(F.xxhash64(F.lit(1), *order), F.lit(shards)).cast("long").alias(shard), F.xxhash64(F.lit(2), *order).alias(turn), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(row))
     # All rows of a shard meet in one partition, in an order that does not depend on where they came from.
     sort = [shard, turn, *order, row]
     together = keyed.repartition(min(shards, 4 * max(1, items.sparkSession.sparkContext.defaultParallelism)), shard).sortWithinPartitions(*sort)
     width = len(items.columns)
-    schema = T.StructType([*items.schema.fields, T.StructField("piece", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("container", T.LongType())])
+    schema = T.StructType([*items.schema.fields, *[T.StructField(name, kind) for name, kind in zip(made, (T.IntegerType(), T.LongType(), T.LongType(), T.LongType()))]])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bins = None, OpenBins(capacity, open_bins)

@@ -188,6 +188,8 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence
     Nulls, NaN and infinities are no values; a group without values has no rows; null is a group like any other; equal
     values count as often as they occur.
     """
+    if taken := {"n", "prob", "percentile"} & {c.lower() for c in group}:
+        raise ValueError(f"reserved names: {sorted(taken)}")
     values, groups = _grouped(df, group, value)
     groups = materialize(groups, "groups")
     asked = groups.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

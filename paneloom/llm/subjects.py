@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneloom.functions.columns import fresh
 from paneloom.llm.mixing import source_name
 
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n|<[^<>]{0,200}>")
@@ -309,9 +310,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, areas: DataFrame, m
 
 def assign_subjects(documents: DataFrame, model: Model, text: str = "text", source: str = "source", into: str = "subjects") -> DataFrame:
     """``documents`` without the text, with the array ``into`` of its subjects in alphabetical order: one or more for each text that has
-    a word, none for a null or blank one. One map over whole texts; repeated rows are kept."""
-    if into.lower() in {c.lower() for c in documents.columns}:
-        raise ValueError(f"column exists already: {into}")
+    a word, none for a null or blank one. One map over whole texts; repeated rows are kept. If ``into`` is taken, it gets a leading
+    underscore."""
+    (into,) = fresh(documents, into)
     kept = [f for f in documents.schema if f.name != text]
     schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.StringType()))])
     ready = documents.select(text, source_name(source).alias("_source"), *[F.col(f.name) for f in kept])

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from paneloom.functions.columns import fresh
+
 #: Ranks of a public byte-level BPE vocabulary; the path is a parameter wherever tokens are counted.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of that vocabulary.
@@ -30,9 +32,9 @@ def encoding(path: str = RANKS):
 
 def count_tokens(df: DataFrame, text: str = "text", into: str = "n_tokens", path: str = RANKS, keep_text: bool = False) -> DataFrame:
     """``df`` with the number of tokens of the whole ``text`` as ``into`` (long; 0 for a null or empty text), without the
-    text itself unless ``keep_text``. Special-token strings in a text are ordinary text. No shuffle."""
-    if into.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column exists already: {into}")
+    text itself unless ``keep_text``. Special-token strings in a text are ordinary text. If ``into`` is taken by a column of
+    ``df``, it gets a leading underscore. No shuffle."""
+    (into,) = fresh(df, into)
     kept = [f for f in df.schema if keep_text or f.name != text]
     schema = T.StructType([*kept, T.StructField(into, T.LongType())])
     ordered = df.select(text, *[f.name for f in df.schema if f.name != text])
