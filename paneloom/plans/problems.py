@@ -18,7 +18,8 @@ TOTALS = ("text_chars", "word_count")
 
 
 def in_span(time: str = "filing_date") -> Column:
-    return (F.col(time) >= F.lit(SPAN[0]).cast("timestamp")) & (F.col(time) < F.lit(SPAN[1]).cast("timestamp"))
+    """Bounds of the column's own type, so that they reach the scan."""
+    return (F.col(time) >= F.lit(SPAN[0]).cast("timestamp_ntz")) & (F.col(time) < F.lit(SPAN[1]).cast("timestamp_ntz"))
 
 
 def filing_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,9 +94,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of insertions, changes and deletions by snapshot month."""
+    """The insertions, changes and deletions between neighbouring snapshots."""
     changes = identifier_changes(spark, folder)
-    return changes.groupBy("step", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return changes.select("permno", F.date_format("at", "yyyy-MM-dd").alias("at"), F.date_format("seen", "yyyy-MM-dd").alias("seen"), "kind", *IDENTIFIERS)
 
 
 #: Fields of the dependency tree over the panel; numeric ones with their number of bins.
@@ -214,8 +215,9 @@ SELECT permno, strftime(min(eom), '%Y-%m-%d') AS valid_from, strftime(max(eom),
 FROM numbered GROUP BY permno, version, gvkey, iid, ticker""",
     "p5_changes": f"""WITH {_FINAL},
 n AS (SELECT *, year(eom) * 12 + month(eom) AS m FROM filled),
-e AS (SELECT coalesce(a.m, b.m + 1) AS step, CASE WHEN b.permno IS NULL THEN 'inserted' WHEN a.permno IS NULL THEN 'deleted'
-    WHEN (a.gvkey, a.iid, a.ticker) IS DISTINCT FROM (b.gvkey, b.iid, b.ticker) THEN 'changed' END AS kind
+e AS (SELECT coalesce(a.permno, b.permno) AS permno, strftime(a.eom, '%Y-%m-%d') AS at, strftime(b.eom, '%Y-%m-%d') AS seen, CASE WHEN b.permno IS NULL THEN 'inserted' WHEN a.permno IS NULL THEN 'deleted'
+    WHEN (a.gvkey, a.iid, a.ticker) IS DISTINCT FROM (b.gvkey, b.iid, b.ticker) THEN 'changed' END AS kind,
+    CASE WHEN a.permno IS NULL THEN b.gvkey ELSE a.gvkey END AS gvkey, CASE WHEN a.permno IS NULL THEN b.iid ELSE a.iid END AS iid, CASE WHEN a.permno IS NULL THEN b.ticker ELSE a.ticker END AS ticker
   FROM n a FULL JOIN n b ON a.permno = b.permno AND a.m = b.m + 1)
-SELECT CAST(step AS INTEGER) AS step, kind, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY step, kind""",
+SELECT * FROM e WHERE kind IS NOT NULL""",
 }

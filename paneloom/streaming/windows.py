@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def daily_features(events: DataFrame, late: str = "2 days") -> DataFrame:
     """``user_id, day, n, value_mean, value_min``. On a stream, a day is final once the watermark of ``late`` has passed its end."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     by = events.groupBy("user_id", F.window("ts", "1 day").alias("w"))
