@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from paneloom.session import materialize
+
 
 def by(*group: str) -> WindowSpec:
     return Window.partitionBy(*group)
@@ -21,6 +23,31 @@ def average_rank(value: str, group: Sequence[str]) -> Column:
     return F.when(known, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
 
 
+def with_average_rank(df: DataFrame, value: str, group: Sequence[str], rank: str = "rank", count: str = "known") -> DataFrame:
+    """``df`` with ``rank`` and the number ``count`` of known values of the group, as :func:`average_rank` gives them, for groups of
+    any size: no task ever holds a group. Distinct values are counted (ties collapse before the shuffle), cut into value
+    ranges over the whole cluster and numbered within each range; the ranges' totals, one row per group and range, give
+    the offsets; the ranks are joined back by group and value."""
+    keys = [F.col(c) for c in group]
+    tied = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    parts = materialize(tied.repartitionByRange(*keys, F.col(value)).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part", *group)
+    before = F.sum("_c").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    totals = parts.groupBy(*group, "_part").agg(F.sum("_c").alias("_t"))
+    earlier = F.sum("_t").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(*group)).alias("_all"))
+    same = lambda left, right: [F.col(c).eqNullSafe(F.col(f"{right}{i}")) for i, c in enumerate(left)]
+    on = (F.col("_part") == F.col("_p"))
+    for x in same(group, "_g"):
+        on = on & x
+    placed = parts.withColumn("_inside", F.coalesce(before, F.lit(0))).join(totals, on)
+    placed = placed.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(group)], F.col(value).alias("_v"), (F.col("_before") + F.col("_inside") + (F.col("_c") + 1) / F.lit(2.0)).alias(rank), F.col("_all").alias(count))
+    back = F.col(value) == F.col("_v")
+    for x in same(group, "_h"):
+        back = back & x
+    return df.join(placed, back, "left").select(*df.columns, rank, count)
+
+
 def known_count(value: str, group: Sequence[str]) -> Column:
     return F.count(value).over(by(*group))
 

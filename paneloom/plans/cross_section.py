@@ -103,6 +103,12 @@ def rank_scale(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("permno", day("eom").alias("eom"), r(cross.rank_scale("be_me", ["eom"])).alias("rank_scaled"), r(cross.percent_rank("be_me", ["eom"])).alias("pct_rank"), cross.bucket("be_me", ["eom"], 10).alias("decile"))
 
 
+@query(with_(f"SELECT permno, {ds('eom')} AS eom, {rank_sql('ret')} AS average_rank, CASE WHEN ret IS NOT NULL THEN count(ret) OVER (PARTITION BY eom) END AS known FROM panel", "panel"))
+def rank_any_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Average ranks without a window over whole months, for groups of any size."""
+    return cross.with_average_rank(panel(spark, folder, "ret"), "ret", ["eom"], "average_rank").select("permno", day("eom").alias("eom"), "average_rank", "known")
+
+
 @query(with_(f"""long AS (UNPIVOT (SELECT permno, eom, {", ".join(CHARACTERISTICS)} FROM panel) ON {", ".join(CHARACTERISTICS)} INTO NAME feature VALUE value),
 every AS (SELECT permno, eom, feature FROM panel, (SELECT DISTINCT feature FROM long)),
 filled AS (SELECT e.*, l.value FROM every e LEFT JOIN long l USING (permno, eom, feature))

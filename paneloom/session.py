@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -44,17 +45,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost
-    executors and lets several later passes read the same rows. The caller may drop it with :func:`discard`."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and lets
+    several later passes read the same rows. :func:`discard` drops it early; all are dropped when the process ends, and not
+    when a query function returns, as the frame it returns may still read them."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/paneloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark)}/paneloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Remove the files behind a frame made by :func:`materialize`."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+    """Remove the files behind a frame made by :func:`materialize` that nothing will read any more."""
+    _remove(df.sparkSession, df._materialized_at)
+
+
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  (the session has ended: the cluster's own clean-up remains)
+        pass

@@ -29,6 +29,15 @@ def test_rank_scale_ties_nulls_and_single(spark):
     assert column(cross.rank_scale_many(df, ["i"], ["eom"], ["x"]), "value", "i") == [-1, 0, 0, 1, 0, 0, 0, 0, 0]
 
 
+def test_average_rank_of_any_size_equals_the_window(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, *map(float, range(40))])) for i in range(3000)], "i int, g string, x double")
+    a = df.withColumns({"rank": cross.average_rank("x", ["g"]), "known": F.when(F.col("x").isNotNull(), cross.known_count("x", ["g"]))})
+    b = cross.with_average_rank(df.repartition(5), "x", ["g"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert cross.with_average_rank(df.limit(0), "x", ["g"]).count() == 0
+
+
 def test_ema_starts_anew_after_a_gap(spark):
     data = [(1, END(2020, k), v) for k, v in ((1, -1.0), (2, 1.0), (3, 1.0), (5, 1.0))] + [(2, END(2020, k), v) for k, v in ((1, 1.0), (2, -1.0))]
     df = spark.createDataFrame(data, "p int, eom date, z double")
