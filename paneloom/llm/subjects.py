@@ -35,6 +35,7 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n|<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W\d_]+")
 SMOOTH = 0.05
 STRETCH = 15
+BLOCK = 2000
 
 
 def subject_name(label: Column | str) -> Column:
@@ -118,9 +119,14 @@ class Rows:
 
     def scores(self, weight: np.ndarray) -> np.ndarray:
         """Sum of the terms' rows of ``weight`` for each sentence."""
-        total = np.zeros((len(self.term) + 1, weight.shape[1]))
-        np.cumsum(weight[self.term], axis=0, out=total[1:])
-        return total[self.start[1:]] - total[self.start[:-1]]
+        out = np.zeros((self.count, weight.shape[1]))
+        for a in range(0, self.count, BLOCK):  # in blocks, so that memory does not grow with the sample
+            start = self.start[a : a + BLOCK + 1]
+            term = self.term[start[0] : start[-1]]
+            total = np.zeros((len(term) + 1, weight.shape[1]))
+            np.cumsum(weight[term], axis=0, out=total[1:])
+            out[a : a + BLOCK] = total[start[1:] - start[0]] - total[start[:-1] - start[0]]
+        return out
 
     def per_document(self, values: np.ndarray) -> np.ndarray:
         edge = np.searchsorted(self.document, np.arange(self.documents + 1))
@@ -142,8 +148,7 @@ def fit_sentences(rows: Rows, labels: np.ndarray, size: int, rounds: int = 15) -
     belief = _softmax(prior)
     repeat = np.diff(rows.start)
     for _ in range(rounds):
-        spread = np.repeat(belief, repeat, 0)
-        mass = np.stack([np.bincount(rows.term, spread[:, c], minlength=size) for c in range(k)], 1)
+        mass = np.stack([np.bincount(rows.term, np.repeat(belief[:, c], repeat), minlength=size) for c in range(k)], 1)
         common = mass.sum(1, keepdims=True)
         # Towards the terms' overall frequency, so that rare terms tell little.
         smoothed = mass + SMOOTH + 0.5 * common / max(common.sum(), 1.0)
