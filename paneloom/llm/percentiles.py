@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions.columns import finite
-from paneloom.session import materialize
+from paneloom.session import discard, materialize
 
 #: Values that a Python worker holds before it sorts and emits them as chunks.
 BUFFER = 1 << 18
@@ -161,10 +161,13 @@ def multi_select(values: DataFrame, wanted: DataFrame, finish: int = 512, compac
             F.when(lower | hit, F.col("below")).otherwise(F.col("below") + F.col("less") + F.col("same")).alias("below"),
             F.when(lower, F.col("less")).when(hit, F.lit(0)).otherwise(F.col("left") - F.col("less") - F.col("same")).alias("left"), F.when(hit, F.col("pivot")).alias("value"),
         )
-        state = materialize(state.where(~is_open).unionByName(after), "ranks")
+        old, state = state, materialize(state.where(~is_open).unionByName(after), "ranks")
+        discard(old)
+        discard(aimed)
         rounds += 1
         if rounds % compact_every == 0:
-            chunks = materialize(over(state.where(F.col("value").isNull()), "lo", "hi").mapInArrow(_compact, "gid string, chunk array<double>"), "chunks")
+            whole, chunks = chunks, materialize(over(state.where(F.col("value").isNull()), "lo", "hi").mapInArrow(_compact, "gid string, chunk array<double>"), "chunks")
+            discard(whole)
     rest = over(state.where(F.col("value").isNull()), "lo", "hi").mapInArrow(_rest, "gid string, rank long, rest array<double>")
     rest = rest.groupBy("gid", "rank").agg(F.sort_array(F.flatten(F.collect_list("rest"))).alias("rest"))
     left = state.where(F.col("value").isNull()).drop("value").join(rest, ["gid", "rank"])
