@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -51,3 +52,34 @@ def write_chunks(df: DataFrame, key: str, path: str, chunks: int, make: Callable
 def write_json(values: dict, path: str) -> None:
     with open(path, "w") as file:
         json.dump(values, file, indent=1, sort_keys=True)
+
+
+def cache_or_compute(spark: SparkSession, root: str, name: str, params: dict, make: Callable[[], DataFrame], columns: Sequence[str] = ()) -> DataFrame:
+    """The table made with ``params``, read back if it was made before. The path holds a hash of the parameters, and only a
+    complete table with all ``columns`` is reused, so neither other parameters nor a broken run can be taken for it."""
+    key = hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    path = f"{root}/{name}-{key}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        old = spark.read.parquet(path)
+        if set(columns) <= set(old.columns):
+            return old
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_submission(book: DataFrame, ledger: DataFrame, folder: str, cap: float) -> None:
+    """Holdings (``month, permno, weight``, one row a name and month) and monthly returns as CSV, if they keep the rules: no
+    null or repeated key, no weight above ``cap``, legs of 1 and -1, the same months in both; else ValueError and no file."""
+    w = F.col("weight")
+    by = book.groupBy("month").agg(F.sum(F.when(w > 0, w)).alias("long"), F.sum(F.when(w < 0, w)).alias("short"))
+    broken = {
+        "null or repeated names": book.groupBy("month", "permno").agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("k")).where("n > 1 or k < n or month is null or permno is null"),
+        "weights above the cap": book.where(F.abs(w) > cap + 1e-9),
+        "legs": by.where((F.abs(F.col("long") - 1) > 1e-5) | (F.abs(F.col("short") + 1) > 1e-5) | F.col("long").isNull() | F.col("short").isNull()),
+        "months": by.select("month").join(ledger.select("month").withColumn("there", F.lit(1)), "month", "full_outer").join(by.select("month", "long"), "month", "left").where("there is null or long is null"),
+    }
+    if found := [name for name, rows in broken.items() if rows.limit(1).count()]:
+        raise ValueError(f"not submitted: {', '.join(found)}")
+    write_csv(book.select("month", "permno", "weight").orderBy("month", "permno"), f"{folder}/holdings")
+    write_csv(ledger.orderBy("month"), f"{folder}/returns")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.operators import beta, book, cross, geometry, models, report, series, stats
-from paneloom.sources.files import write_chunks
+from paneloom.operators import choice
+from paneloom.sources.files import cache_or_compute, read_csv, write_chunks, write_submission
 from paneloom.streaming.windows import daily_features, event_stream, run_to_end
 
 END = lambda y, m: (dt.date(y + m // 12, m % 12 + 1, 1) - dt.timedelta(days=1))
@@ -245,3 +246,36 @@ def test_truncation_of_series_operators(spark):
         return sorted((r["p"], r["eom"], *[v if v is None else round(v, 9) for v in (r["smooth"], r["c"], r["s"], r["x"])]) for r in out.where(F.col("eom") <= cut).collect())
 
     assert run(data) == run([r for r in data if r[1] <= cut])
+
+
+def test_cache_and_submission(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for params in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert cache_or_compute(spark, str(tmp_path), "t", params, make, ["id"]).count() == 3
+    assert len(made) == 2
+    m = END(2021, 1)
+    b = spark.createDataFrame([(m, 1, 0.6), (m, 2, 0.4), (m, 3, -1.0)], "month date, permno int, weight double")
+    returns = spark.createDataFrame([(m, 0.01)], "month date, total_ret double")
+    write_submission(b, returns, str(tmp_path / "s"), 1.0)
+    assert read_csv(spark, str(tmp_path / "s" / "holdings"), b.schema).orderBy("permno").collect() == b.orderBy("permno").collect()
+    for bad, cap in ((b, 0.5), (b.unionByName(b), 1.0), (b.where("permno <> 3"), 1.0)):
+        with pytest.raises(ValueError):
+            write_submission(bad, returns, str(tmp_path / "bad"), cap)
+    with pytest.raises(ValueError):
+        write_submission(b, returns.limit(0), str(tmp_path / "bad"), 1.0)
+    assert not (tmp_path / "bad").exists()
+
+
+def test_guards_and_choice(spark):
+    assert choice.guard(["a"], ["a"]) == ["a"]
+    for f, n in ((["ret_exc_lead1m"], []), (["a"], ["b"])):
+        with pytest.raises(ValueError):
+            choice.guard(f, n)
+    ic = [("a", END(y, k), 0.1 if y < 2020 else 9.0) for y in (2018, 2019, 2020) for k in range(1, 13)] + [("b", END(y, k), 0.2) for y in (2018, 2019) for k in range(1, 13)]
+    best = choice.best_by_validation(spark.createDataFrame(ic, "feature string, month date, ic double"), [2020]).collect()
+    assert [(r["feature"], round(r["mean_ic"], 9)) for r in best] == [("b", 0.2)]  # the later jump of "a" is not seen
