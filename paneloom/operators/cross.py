@@ -45,7 +45,7 @@ def with_average_rank(df: DataFrame, value: str, group: Sequence[str], rank: str
     back = F.col(value) == F.col("_v")
     for x in same(group, "_h"):
         back = back & x
-    return df.join(placed, back, "left").select(*df.columns, rank, count)
+    return df.join(placed.hint("merge"), back, "left").select(*df.columns, rank, count)
 
 
 def known_count(value: str, group: Sequence[str]) -> Column:

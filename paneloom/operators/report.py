@@ -50,10 +50,10 @@ def weighted_over_known(value: str, weight: Column) -> Column:
 
 def contributions(book: DataFrame, entity: str = "permno", labels: Sequence[str] = ("ticker", "company_name")) -> DataFrame:
     """Summed weight times return (null as 0), mean weight over all months of the book, and the last known labels by name."""
-    months = book.select(F.countDistinct("month").alias("months"))
+    months = book.select("month").distinct().count()
     latest = [F.max_by(F.when(F.trim(c) != "", F.col(c)), F.when(F.trim(c) != "", F.col("month"))).alias(c) for c in labels]
     by = book.groupBy(entity).agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("contribution"), F.sum("weight").alias("_w"), *latest)
-    return by.crossJoin(F.broadcast(months)).withColumn("average_weight", F.col("_w") / F.col("months")).drop("_w", "months")  # one row
+    return by.withColumn("average_weight", F.col("_w") / F.nullif(F.lit(months), F.lit(0))).drop("_w")
 
 
 def round_legs(book: DataFrame, digits: int = 6, cap: float | None = None) -> DataFrame:

@@ -68,9 +68,9 @@ def surprise(value: str, entity: Sequence[str], rows: int = 12, time: str = "eom
 
 def densify_months(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """A row for each key and each month from the key table's first to its last month; absent values are 0."""
-    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
-    months = ends.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias(time)).select(F.last_day(time).alias(time))
-    spine = df.select(*keys).distinct().crossJoin(F.broadcast(months))  # months: one row per calendar month, a few hundred
+    first, last = df.agg(F.min(F.trunc(time, "month")), F.max(F.trunc(time, "month"))).first()
+    months = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))
+    spine = df.select(*keys).distinct().withColumn(time, F.explode(months)).withColumn(time, F.last_day(time))
     return spine.join(df.select(*keys, time, value), [*keys, time], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 

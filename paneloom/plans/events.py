@@ -101,8 +101,8 @@ def coverage_by_exit(spark: SparkSession, folder: str) -> DataFrame:
     """Share of security months with a filing, by months before the security's last row; unclear exits left out."""
     rows = panel(spark, folder)
     last = rows.groupBy("permno").agg(F.max("eom").alias("last_eom"))
-    stop = last.agg(F.max("last_eom").alias("stop"))
-    rows = rows.join(last, "permno").crossJoin(F.broadcast(stop))  # one row
+    stop = last.agg(F.max("last_eom")).first()[0]
+    rows = rows.join(last, "permno").withColumn("stop", F.lit(stop))
     rows = rows.join(filings(spark, folder).select("permno", "eom").distinct().withColumn("filed", F.lit(1.0)), ["permno", "eom"], "left")
     since, before = month_number("stop") - month_number("last_eom"), month_number("last_eom") - month_number("eom")
     label = F.when(since == 0, "survivor to panel end").when(since < 12, F.lit(None)).when(before == 0, "last panel row").when(before <= 2, "1-2 months before exit").when(before <= 5, "3-5 months before exit").when(before <= 11, "6-11 months before exit").otherwise("12+ months before exit")
