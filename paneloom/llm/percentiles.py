@@ -26,6 +26,14 @@ from paneloom.session import discard, materialize
 
 #: Values that a Python worker holds before it sorts and emits them as chunks.
 BUFFER = 1 << 18
+#: Up to so many wanted ranks (some 10 MB) are broadcast to the chunks; more are joined by sorting.
+BROADCAST_RANKS = 100_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows as a join's side. Counted rows decide, not Spark's guess: it takes a table's size from its
+    files, and those of ranks are far smaller than the ranks."""
+    return F.broadcast(df) if rows <= BROADCAST_RANKS else df.hint("merge")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +144,24 @@ def multi_select(values: DataFrame, wanted: DataFrame, finish: int = 512, compac
     state = wanted.select("gid", F.col("rank").cast("long").alias("rank"), lowest.alias("lo"), highest.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").cast("long").alias("left"), F.lit(None).cast("double").alias("value"))
     state = materialize(state.distinct(), "ranks")
 
-    def over(open_ranks: DataFrame, *fields: str) -> DataFrame:
-        """Chunks beside the open ranks of their group; Spark broadcasts the ranks if they are few."""
+    def over(open_ranks: DataFrame, rows: int, *fields: str) -> DataFrame:
+        """Chunks beside the open ranks of their group."""
         wants = open_ranks.groupBy("gid").agg(F.collect_list(F.struct("rank", *fields)).alias("wants"))
-        return chunks.join(wants, "gid").select("gid", "chunk", "wants")
+        return chunks.join(_sized(wants, rows), "gid").select("gid", "chunk", "wants")
 
     rounds = 0
     is_open = F.col("value").isNull() & (F.col("left") > finish)
-    while state.where(is_open).limit(1).count():
+    while many := state.where(is_open).count():
         todo = state.where(is_open)
-        proposals = over(todo, "lo", "hi").mapInArrow(_propose, "gid string, rank long, median double, weight long")
+        proposals = over(todo, many, "lo", "hi").mapInArrow(_propose, "gid string, rank long, median double, weight long")
         w = Window.partitionBy("gid", "rank")
         running = F.sum("weight").over(w.orderBy("median").rowsBetween(Window.unboundedPreceding, 0))
         ranked = proposals.select("gid", "rank", "median", (running * 2 >= F.sum("weight").over(w)).alias("enough"))
         pivots = ranked.where("enough").groupBy("gid", "rank").agg(F.min("median").alias("pivot"))
-        aimed = materialize(todo.join(pivots, ["gid", "rank"]), "pivots")
-        counts = over(aimed, "lo", "pivot").mapInArrow(_count, "gid string, rank long, less long, same long")
+        aimed = materialize(todo.join(_sized(pivots, many), ["gid", "rank"]), "pivots")
+        counts = over(aimed, many, "lo", "pivot").mapInArrow(_count, "gid string, rank long, less long, same long")
         counts = counts.groupBy("gid", "rank").agg(F.sum("less").alias("less"), F.sum("same").alias("same"))
-        c = aimed.join(counts, ["gid", "rank"])
+        c = aimed.join(_sized(counts, many), ["gid", "rank"])
         lower = F.col("rank") < F.col("below") + F.col("less")
         hit = ~lower & (F.col("rank") < F.col("below") + F.col("less") + F.col("same"))
         after = c.select(
@@ -166,11 +174,13 @@ def multi_select(values: DataFrame, wanted: DataFrame, finish: int = 512, compac
         discard(aimed)
         rounds += 1
         if rounds % compact_every == 0:
-            whole, chunks = chunks, materialize(over(state.where(F.col("value").isNull()), "lo", "hi").mapInArrow(_compact, "gid string, chunk array<double>"), "chunks")
+            unknown = state.where(F.col("value").isNull())
+            whole, chunks = chunks, materialize(over(unknown, unknown.count(), "lo", "hi").mapInArrow(_compact, "gid string, chunk array<double>"), "chunks")
             discard(whole)
-    rest = over(state.where(F.col("value").isNull()), "lo", "hi").mapInArrow(_rest, "gid string, rank long, rest array<double>")
+    unknown = state.where(F.col("value").isNull())
+    rest = over(unknown, unknown.count(), "lo", "hi").mapInArrow(_rest, "gid string, rank long, rest array<double>")
     rest = rest.groupBy("gid", "rank").agg(F.sort_array(F.flatten(F.collect_list("rest"))).alias("rest"))
-    left = state.where(F.col("value").isNull()).drop("value").join(rest, ["gid", "rank"])
+    left = unknown.drop("value").join(rest.hint("merge"), ["gid", "rank"])
     left = left.select("gid", "rank", F.expr("element_at(rest, cast(rank - below + 1 as int))").alias("value"))
     return state.where(F.col("value").isNotNull()).select("gid", "rank", "value").unionByName(left)
 
@@ -200,8 +210,9 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence
     asked = asked.withColumn("_a", F.floor(spot)).withColumn("_b", F.ceil(spot)).withColumn("_f", spot - F.floor(spot))
     wanted = asked.select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.explode(F.array("_a", "_b")).alias("rank"))
     found = materialize(multi_select(values, wanted, **options), "found")
+    rows = found.count()
     for side in "ab":
-        asked = asked.join(found.select(F.col("gid").alias("_gid"), F.col("rank").alias(f"_{side}"), F.col("value").alias(f"_v{side}")), ["_gid", f"_{side}"])
+        asked = asked.join(_sized(found.select(F.col("gid").alias("_gid"), F.col("rank").alias(f"_{side}"), F.col("value").alias(f"_v{side}")), rows), ["_gid", f"_{side}"])
     return asked.select(*group, F.col("_n").alias("n"), F.col("_p").alias("prob"), (F.col("_va") + (F.col("_vb") - F.col("_va")) * F.col("_f")).alias("percentile"))
 
 
@@ -213,7 +224,7 @@ def summarize(df: DataFrame, group: Sequence[str], value: str, steps: int = 64,
     spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda j: F.round(j * (F.col("_n") - 1) / F.lit(steps)).cast("long")))
     asked = groups.withColumn("_rank", F.explode(spots))
     found = multi_select(values, asked.select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.col("_rank").alias("rank")), **options)
-    out = asked.join(found.select(F.col("gid").alias("_gid"), F.col("rank").alias("_rank"), F.col("value").alias("_value")), ["_gid", "_rank"])
+    out = asked.join(found.select(F.col("gid").alias("_gid"), F.col("rank").alias("_rank"), F.col("value").alias("_value")).hint("merge"), ["_gid", "_rank"])
     return out.select(*group, F.col("_n").alias("n"), F.col("_rank").alias("rank"), F.col("_value").alias("value"))
 
 

@@ -93,3 +93,13 @@ def test_top_n_small_batches_smallest_and_edges(spark):
     assert top_n(same, ["g"], "s", 3).count() == 3
     nan = spark.createDataFrame([(float("nan"), 1.0), (float("nan"), 2.0), (None, 3.0)], "g double, s double")
     assert top_n(nan, ["g"], "s", 1).count() == 2
+
+
+def test_many_ranks_are_joined_by_sorting(spark, skewed, monkeypatch):
+    from paneloom.llm import percentiles as module
+
+    pdf, df = skewed
+    monkeypatch.setattr(module, "BROADCAST_RANKS", 0)
+    got = percentiles(df, ["g"], "x", [0.5], finish=2000, compact_every=1).toPandas()
+    want = pdf.groupby("g").x.median()
+    assert len(got) == 5 and all(r.percentile == pytest.approx(want[r.g]) for r in got.itertuples())
