@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,25 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: it is added to the application once, as an archive that Spark
+    itself hands to every executor, also to those that join later."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="paneloom-ship-")  # on the driver only; addPyFile takes a copy at once
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, str(source.relative_to(package.parent)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in ``spark.checkpoint.dir``; only a session
     without that setting (tests, a single machine) gets a temporary folder of its own."""

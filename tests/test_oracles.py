@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -48,3 +50,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    """A driver that found the package by its own path only: workers can't rely on its folder or PYTHONPATH."""
+    code = (
+        f"import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})\n"
+        "import __spark_entry__ as e\nfrom paneloom.session import local_session\n"
+        f"print('ROWS', e.queries()['p4_found'](local_session(2, 2, '2g'), {DATA!r}).count())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
