@@ -63,8 +63,8 @@ def scored_filings(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_("SELECT document_id, permno, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM filings ORDER BY filing_date, document_id LIMIT 1000", "filings"))
 def sorted_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """The first thousand filings by date, ties by id."""
-    rows = filings(spark, folder).orderBy("filing_date", "document_id").limit(1000)
+    """All filings by date, ties by id."""
+    rows = filings(spark, folder).orderBy("filing_date", "document_id")
     return rows.select("document_id", "permno", F.date_format("filing_date", "yyyy-MM-dd HH:mm:ss").alias("filing_date"))
 
 
