@@ -32,18 +32,20 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delivery_summaries(spark: SparkSession, folder: str, steps: int = 64) -> DataFrame:
-    """Summaries of single deliveries: of the rows that each brought and of the earlier rows that it replaced."""
+    """Summaries of single deliveries, by month and by month and size group: of the rows that each brought and of the earlier
+    rows that it replaced, those in the size group that they had."""
     panel = table(spark, folder, "chars_final_with_names", ["permno", "eom", "delivery_id", "size_grp", "me", "ret"]).distinct()
     following = F.lead("delivery_id").over(Window.partitionBy("permno", "eom").orderBy("delivery_id"))
     moves = panel.withColumn("_next", following).withColumn("_m", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("delivery_id").alias("at")), F.struct(F.lit(-1).alias("sign"), F.col("_next").alias("at")))))
     moves = moves.where("_m.at is not null").withColumns({"delivery": F.col("_m.at"), "sign": F.col("_m.sign")})
-    figures = usable_measures(moves, "delivery", "sign").where("size_grp = 'all'")
-    return summarize(figures, ["measure", "eom", "delivery", "sign"], "x", steps)
+    figures = usable_measures(moves, "delivery", "sign")
+    return summarize(figures, ["measure", "eom", "size_grp", "delivery", "sign"], "x", steps)
 
 
 def p1_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of the final rows by month, put together from the summaries of single deliveries, with error bounds."""
-    merged = merge_summaries(delivery_summaries(spark, folder), ["delivery"], ["measure", "eom"], PROBS, sign="sign")
+    """Percentiles of the final rows by month, and by month and size group, put together from the summaries of single deliveries, with
+    error bounds."""
+    merged = merge_summaries(delivery_summaries(spark, folder), ["delivery"], ["measure", "eom", "size_grp"], PROBS, sign="sign")
     return merged.withColumn("eom", F.date_format("eom", "yyyy-MM-dd"))
 
 
