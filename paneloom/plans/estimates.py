@@ -77,14 +77,18 @@ def nearest_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("vec_id", "cluster", r("distance", 5).alias("distance"), r(F.col("distance") / F.nullif(spread, F.lit(0.0)), 4).alias("atypicality"))
 
 
+#: Last day of the vectors that whitening and k-means are fitted on, as in the reference.
+FIT_END = "2018-12-31"
+
+
 @query()
 def embedding_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Whitening and k-means fitted on the earlier half, all vectors assigned; month-wise counts and novelty by cluster."""
+    """Whitening and k-means fitted on all vectors up to ``FIT_END``, all vectors assigned; month-wise counts and mean distance by cluster."""
     rows = table(spark, folder, "embeddings").where(geometry.is_finite("embedding")).select("vec_id", F.date_add(F.lit("2015-01-31").cast("date"), F.col("vec_id").cast("int")).alias("d"), "embedding")
-    fit = rows.where("vec_id % 2 = 0")
-    mean, projection = geometry.fit_whitening(fit, "embedding", 16)
+    known = F.col("d") <= F.lit(FIT_END).cast("date")
+    mean, projection = geometry.fit_whitening(rows.where(known), "embedding", 16)
     white = materialize(geometry.whiten(rows, "embedding", mean, projection, "w"), "white")
-    centroids = geometry.kmeans(white.where("vec_id % 2 = 0"), "w", 10)
+    centroids = geometry.kmeans(white.where(known), "w", 10)
     near = geometry.nearest_centroid(white, "w", centroids)
     return near.groupBy("cluster", F.last_day("d").alias("eom")).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("distance"))
 

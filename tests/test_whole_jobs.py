@@ -1,9 +1,36 @@
 """Queries over their whole input: rows, fit sets and months that a cut would lose."""
 
-from paneloom.plans import base, events
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from paneloom.plans import base, estimates, events
 
 
 def test_sorted_metadata_has_every_filing(spark, tiny):
     out = [(r.filing_date, r.document_id) for r in events.sorted_metadata(spark, tiny).collect()]
     assert len(out) == base.filings(spark, tiny).count() > 1000
     assert out == sorted(out)
+
+
+def test_clusters_are_fitted_on_all_vectors_up_to_the_cutoff_only(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1600, 20))
+    days = np.datetime64("2015-01-31") + np.arange(1600)
+    late = days > np.datetime64(estimates.FIT_END)
+    early_odd = ~late & (np.arange(1600) % 2 == 1)
+    assert 100 < late.sum() < 200
+
+    def clusters(name, change):
+        y = np.where(change[:, None], x[:, ::-1] * 5 + 3, x)
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.table({"vec_id": np.arange(1600), "embedding": pa.array(y.tolist(), pa.list_(pa.float32()))}), tmp_path / name / "embeddings.parquet")
+        rows = estimates.embedding_clusters(spark, str(tmp_path / name)).collect()
+        return {(r.cluster, str(r.eom)): (r.n, round(r.distance, 9)) for r in rows if str(r.eom) <= estimates.FIT_END}
+
+    plain = clusters("plain", np.zeros(1600, bool))
+    assert sum(n for n, _ in plain.values()) == (~late).sum()
+    assert clusters("late", late) == plain
+    some = early_odd & (days < np.datetime64("2015-06-01"))
+    changed = clusters("odd", some)
+    assert {k: v for k, v in changed.items() if k[1] > "2015-07-01"} != {k: v for k, v in plain.items() if k[1] > "2015-07-01"}
