@@ -79,12 +79,12 @@ fil AS (SELECT g.permno, g.eom, f.ticker FROM grid g LEFT JOIN (SELECT permno, C
 SELECT o.permno, {ds('o.eom')} AS eom, coalesce(o.ticker, f.ticker) AS label, CASE WHEN o.ticker IS NOT NULL THEN 'raw_panel' WHEN f.ticker IS NOT NULL THEN 'filing' ELSE 'UNLABELED' END AS label_source
 FROM own o JOIN fil f ON o.permno = f.permno AND o.eom = f.eom""", "book", "filings"))
 def asof_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest label not after the month: from the quarterly panel rows, else from filings, with its source; of several
+    """Latest label not after the month: from the labelled panel rows, else from filings, with its source; of several
     filings of a day that of the greatest id."""
     from paneloom.plans.base import book
 
     grid = book(spark, folder).select("permno", "eom").distinct()
-    own = panel(spark, folder, "ticker").where("trim(ticker) <> '' and month(eom) % 3 = 0").select("permno", F.col("eom").alias("at"), "ticker")
+    own = panel(spark, folder, "ticker").where("trim(ticker) <> ''").select("permno", F.col("eom").alias("at"), "ticker")
     fil = filings(spark, folder, "ticker").where("trim(ticker) <> ''").select("permno", F.to_date("filing_date").alias("at"), "document_id", "ticker")
     first = known_at(grid, own, event_entity="permno", event_time="eom", keep=["permno", "eom"], change_entity="permno", available_at="at", rank=["at"], attributes=["ticker"])
     both = known_at(first.select("permno", "eom", F.col("ticker").alias("mine")), fil, event_entity="permno", event_time="eom", keep=["permno", "eom", "mine"], change_entity="permno", available_at="at", rank=["at", "document_id"], attributes=["ticker"])

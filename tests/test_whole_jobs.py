@@ -1,7 +1,10 @@
 """Queries over their whole input: rows, fit sets and months that a cut would lose."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
 from paneloom.plans import base, estimates, events
@@ -34,3 +37,27 @@ def test_clusters_are_fitted_on_all_vectors_up_to_the_cutoff_only(spark, tmp_pat
     some = early_odd & (days < np.datetime64("2015-06-01"))
     changed = clusters("odd", some)
     assert {k: v for k, v in changed.items() if k[1] > "2015-07-01"} != {k: v for k, v in plain.items() if k[1] > "2015-07-01"}
+
+
+def test_cascade_takes_the_latest_label_of_any_month(spark, tiny, tmp_path):
+    """Every third security never has a ticker, so that filings and nothing at all are sources too."""
+    rows = pq.read_table(f"{tiny}/chars_final_with_names.parquet")
+    bare = pc.equal(pc.subtract(rows["permno"], pc.multiply(pc.divide(rows["permno"], 3), 3)), 0)
+    rows = rows.set_column(rows.column_names.index("ticker"), "ticker", pc.if_else(bare, pa.scalar(None, pa.string()), rows["ticker"]))
+    pq.write_table(rows, tmp_path / "chars_final_with_names.parquet")
+    os.symlink(f"{tiny}/filings_8k.parquet", tmp_path / "filings_8k.parquet")
+    folder = str(tmp_path)
+    day = lambda x: str(x)[:10]
+    own, fil = {}, {}
+    for r in base.panel(spark, folder, "ticker").where("trim(ticker) <> ''").collect():
+        own.setdefault(r.permno, []).append((day(r.eom), r.ticker))
+    for r in base.filings(spark, folder, "ticker").where("trim(ticker) <> ''").collect():
+        fil.setdefault(r.permno, []).append((day(r.filing_date), r.document_id, r.ticker))
+    want = set()
+    for r in base.book(spark, folder).select("permno", "eom").distinct().collect():
+        tagged = [(tag, max(c)[-1]) for tag, source in (("raw_panel", own), ("filing", fil)) if (c := [x for x in source.get(r.permno, []) if x[0] <= day(r.eom)])]
+        tag, label = tagged[0] if tagged else ("UNLABELED", None)
+        want.add((r.permno, day(r.eom), label, tag))
+    got = events.asof_cascade(spark, folder).collect()
+    assert {(r.permno, r.eom, r.label, r.label_source) for r in got} == want
+    assert len(got) == len(want) and {w[3] for w in want} == {"raw_panel", "filing", "UNLABELED"}
