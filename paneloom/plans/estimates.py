@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -263,8 +265,8 @@ def boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
 # ---- books
 
 
-def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = panel(spark, folder, "ret_12_1", "beta_60m", "me", "gics2", "dolvol_126d").where("eom >= '2020-12-01'")
+def _candidates(spark: SparkSession, folder: str, first: str = "2020-12-01") -> DataFrame:
+    rows = panel(spark, folder, "ret_12_1", "beta_60m", "me", "gics2", "dolvol_126d").where(F.col("eom") >= F.lit(first).cast("date"))
     filed = events.filing_features(spark, folder).select("permno", "eom", F.lit(1).alias("has_filing"))
     rows = rows.join(filed, ["permno", "eom"], "left").withColumn("log_me", F.log("me"))
     eligible = cross.above_group_quantile("me", ["eom"], 0.4) & cross.above_group_quantile("dolvol_126d", ["eom"], 0.3)
@@ -283,7 +285,9 @@ def optimised_book(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def calibration_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Names and turnover of the books of a grid of penalties, with the distance from wanted ones."""
-    settings = book.grid(LOOSE, [2.0, 10.0], [0.1, 1.0])
-    made = materialize(book.backtest(_candidates(spark, folder).where("month < '2022-01-01'"), settings), "books")
+    """Names and turnover of the books of the reference's grid of penalties over the 24 validation months 2019-2020, with the
+    reference's number of candidates, and the distance from wanted ones."""
+    settings = book.grid(replace(LOOSE, candidates=book.Settings.candidates), [100.0, 300.0, 1000.0, 3000.0], [0.1, 0.3, 1.0, 3.0])
+    months = _candidates(spark, folder, "2018-12-01").where("month >= '2019-01-01' and month < '2021-01-01'")
+    made = materialize(book.backtest(months, settings), "books")
     return book.shape_score(made, 15, 0.3)

@@ -61,3 +61,17 @@ def test_cascade_takes_the_latest_label_of_any_month(spark, tiny, tmp_path):
     got = events.asof_cascade(spark, folder).collect()
     assert {(r.permno, r.eom, r.label, r.label_source) for r in got} == want
     assert len(got) == len(want) and {w[3] for w in want} == {"raw_panel", "filing", "UNLABELED"}
+
+
+def test_calibration_runs_the_whole_grid_over_24_months(spark, tiny, monkeypatch):
+    seen = {}
+
+    def backtest(candidates, settings):
+        seen["months"] = sorted(str(r.month) for r in candidates.select("month").distinct().collect())
+        seen["settings"] = settings
+        return spark.createDataFrame([(0, None, 1, 0.5, "")], estimates.book.BOOK)
+
+    monkeypatch.setattr(estimates.book, "backtest", backtest)
+    estimates.calibration_grid(spark, tiny)
+    assert len(seen["months"]) == 24 and seen["months"][0] == "2019-01-31" and seen["months"][-1] == "2020-12-31"
+    assert len({(s.l2, s.turnover) for s in seen["settings"]}) == 16 and {s.candidates for s in seen["settings"]} == {350}
