@@ -33,9 +33,11 @@ def nearest_centroid(df: DataFrame, vector: str, centroids: Sequence[Sequence[fl
 
 
 def cluster_spread(df: DataFrame, cluster: str, distance: str) -> DataFrame:
-    """Median distance of each cluster; clusters of one member take the median of the others' medians."""
+    """``spread`` and ``members`` of each cluster: its median distance; where that is 0, as in a cluster of one member that is its own
+    centroid, the median of all clusters' medians, or a tiny number if that is 0 too."""
     by = df.groupBy(cluster).agg(F.median(distance).alias("spread"), F.count(F.lit(1)).alias("members"))
-    return by
+    middle = by.agg(F.median("spread")).first()[0] or 1e-6
+    return by.withColumn("spread", F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(float(middle))))
 
 
 def fit_whitening(df: DataFrame, vector: str, dimensions: int) -> tuple[np.ndarray, np.ndarray]:

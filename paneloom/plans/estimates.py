@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.operators import beta, book, cross, geometry, models, series, stats, text
@@ -75,8 +75,8 @@ def nearest_centroids(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
     centroids = [x["e"] for x in rows.where("vec_id < 8").orderBy("vec_id").select("e").collect()]
     near = geometry.nearest_centroid(rows, "e", centroids)
-    spread = F.median("distance").over(Window.partitionBy("cluster"))
-    return near.select("vec_id", "cluster", r("distance", 5).alias("distance"), r(F.col("distance") / F.nullif(spread, F.lit(0.0)), 4).alias("atypicality"))
+    rows = near.join(geometry.cluster_spread(near, "cluster", "distance"), "cluster")
+    return rows.select("vec_id", "cluster", r("distance", 5).alias("distance"), r(F.col("distance") / F.col("spread"), 4).alias("atypicality"))
 
 
 #: Last day of the vectors that whitening and k-means are fitted on, as in the reference.

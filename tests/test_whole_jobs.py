@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
+from paneloom.operators import geometry
 from paneloom.plans import base, estimates, events
 
 
@@ -75,3 +76,10 @@ def test_calibration_runs_the_whole_grid_over_24_months(spark, tiny, monkeypatch
     estimates.calibration_grid(spark, tiny)
     assert len(seen["months"]) == 24 and seen["months"][0] == "2019-01-31" and seen["months"][-1] == "2020-12-31"
     assert len({(s.l2, s.turnover) for s in seen["settings"]}) == 16 and {s.candidates for s in seen["settings"]} == {350}
+
+
+def test_spread_of_a_cluster_of_one(spark):
+    rows = spark.createDataFrame([(0, 0.0), (1, 1.0), (1, 3.0), (2, 4.0)], "cluster int, distance double")
+    out = {r.cluster: (r.spread, r.members) for r in geometry.cluster_spread(rows, "cluster", "distance").collect()}
+    assert out == {0: (2.0, 1), 1: (2.0, 2), 2: (4.0, 1)}
+    assert [r.spread for r in geometry.cluster_spread(rows.where("cluster = 0"), "cluster", "distance").collect()] == [1e-6]
