@@ -4,8 +4,9 @@ The store has one row per entity, event type and day with the running count and
 window feature is the difference of the running values at its two ends, each taken as of the last stored day not after
 it; the newest timestamp up to the end gives recency. Days can be appended without reading old events again.
 
-Shuffles: the events once, by entity and day (one hot entity spreads over all its days); the day rows once, by entity
-and type (at most one row per day, however many events a day has); the (entity, type) rows once, for the wide table.
+Shuffles: the events once, by entity, day and a share of the ids (one hot entity spreads over its days, one hot day over
+``DAY_PARTS`` tasks), compact and before their types are spread out; the day rows once, by entity and type (at most
+``DAY_PARTS`` rows per day, however many events a day has); the (entity, type) rows once, for the wide table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from paneloom.session import materialize
 
+#: Tasks that one day of one entity is spread over before its events are added up.
+DAY_PARTS = 16
 _ITEM = r"(?<![0-9.])(\d{1,2}\.\d{2})(?![0-9])"
 _LETTER = _ITEM + r"[\s\-(]*([a-z])(?![a-z0-9])"
 
@@ -46,11 +49,15 @@ def daily_totals(events: DataFrame, entity: str, types: str, time: str, event_id
         F.array_distinct(types).alias("types"), *[F.col(c).alias(f"total_{i}") for i, c in enumerate(totals)],
     )
     sums = [f"total_{i}" for i in range(len(totals))]
-    spread = e.repartition("entity", "day").select("entity", "day", "at", "id", F.explode("types").alias("event_type"), *sums)
-    once = spread.where(F.col("event_type").isNotNull()).groupBy("entity", "day", "event_type", "at", "id")
+    part = F.pmod(F.xxhash64("at", "id"), F.lit(DAY_PARTS)).cast("int")  # copies agree in it
+    spread = e.withColumn("part", part).repartition("entity", "day", "part").select("entity", "day", "part", "at", "id", F.explode("types").alias("event_type"), *sums)
+    once = spread.where(F.col("event_type").isNotNull()).groupBy("entity", "day", "part", "event_type", "at", "id")
     once = once.agg(*[F.max(c).alias(c) for c in sums]) if sums else once.agg(F.lit(1).alias("one"))
     newest = F.min(F.struct((-F.unix_micros("at")).alias("back"), F.col("id")))
-    daily = once.groupBy("entity", "day", "event_type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums], newest.alias("newest"))
+    parts = once.groupBy("entity", "day", "part", "event_type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums], newest.alias("newest"))
+    # Partitioned as the store's windows need it, so that adding up the parts and the running totals share one shuffle.
+    whole = parts.repartition("entity", "event_type").groupBy("entity", "event_type", "day")
+    daily = whole.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], F.min("newest").alias("newest"))
     return daily.select(
         "entity", "event_type", "day", "n", *[F.coalesce(c, F.lit(0)).alias(name) for c, name in zip(sums, totals)],
         F.timestamp_micros(-F.col("newest.back")).alias("newest"), F.col("newest.id").alias("newest_id"),
@@ -81,15 +88,17 @@ def as_of_features(store: DataFrame, as_of: str, totals: Sequence[str] = (), win
     return out.select(*[c for c in out.columns if c != "recent"], F.col("recent.newest").alias("newest"), F.col("recent.newest_id").alias("newest_id"))
 
 
-def wide_features(features: DataFrame, values: Sequence[str], counts: Sequence[str] = (), max_types: int = 2000) -> DataFrame:
-    """One row per entity with the columns ``t_<type>_<value>`` for each type that occurs and each of ``values``, anything
-    but letters and digits of the type written as ``_`` (``t_5_02_b_n``); an entity without a type has zero in the columns
-    named in ``counts`` and null in the others. More than ``max_types`` types are refused, not cut."""
+def wide_features(features: DataFrame, values: Sequence[str], counts: Sequence[str] = (), types: Sequence[str] = (), max_types: int = 2000) -> DataFrame:
+    """One row per entity with the columns ``t_<type>_<value>`` for each of ``types`` and each other type that occurs, and each of
+    ``values``, anything but letters and digits of the type written as ``_`` (``t_5_02_b_n``); an entity without a type has zero in
+    the columns named in ``counts`` and null in the others. With ``types`` the columns do not depend on the data as long as
+    no other type occurs. More than ``max_types`` types are refused, not cut."""
     features = materialize(features.select("entity", "event_type", *values), "features")
-    named = [r[0] for r in features.select("event_type").distinct().limit(max_types + 1).collect()]
+    occur = [r[0] for r in features.select("event_type").distinct().limit(max_types + 1).collect()]
+    named = [*dict.fromkeys([*types, *sorted(occur)])]
     if len(named) > max_types:
         raise ValueError(f"more than {max_types} event types: keep the long form")
-    types = sorted({"t_" + re.sub("[^0-9A-Za-z]+", "_", t).strip("_") for t in named})
+    types = [*dict.fromkeys("t_" + re.sub("[^0-9A-Za-z]+", "_", t).strip("_") for t in named)]
     if len(types) < len(named):
         raise ValueError("different event types would get the same column name")
     if not types:

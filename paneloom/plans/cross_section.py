@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paneloom.functions.columns import month_number
+from paneloom.functions.columns import finite, month_number
 from paneloom.operators import cross, series
 from paneloom.plans.base import CHARACTERISTICS, day, ds, filings, market, panel, query, r, rs, with_
 from paneloom.sources import table
@@ -23,11 +23,11 @@ def scaled_sql(x: str, g: str = "eom") -> str:
     return f"coalesce(CASE WHEN {n} > 1 THEN 2.0 * (({rank_sql(x, g)}) - 1) / nullif({n} - 1, 0) - 1 END, 0)"
 
 
-@query("SELECT permno, strftime(eom, '%Y-%m-%d') AS eom, me, ret FROM chars_final_with_names WHERE eom BETWEEN '2020-01-31' AND '2020-12-31'")
+@query("SELECT permno, strftime(eom, '%Y-%m-%d') AS eom, CASE WHEN isfinite(me) THEN me END AS me, CASE WHEN isfinite(ret) THEN ret END AS ret FROM chars_final_with_names WHERE eom BETWEEN '2020-01-31' AND '2020-12-31'")
 def scan_pushdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Four columns and one year reach the Parquet scan (read schema and pushed filters)."""
+    """Four columns and one year reach the Parquet scan (read schema and pushed filters); NaN and infinite numbers come out as null."""
     rows = table(spark, folder, "chars_final_with_names", ["permno", "eom", "me", "ret"])
-    return rows.where(F.col("eom").between(F.lit("2020-01-31").cast("date"), F.lit("2020-12-31").cast("date"))).withColumn("eom", day("eom"))
+    return rows.where(F.col("eom").between(F.lit("2020-01-31").cast("date"), F.lit("2020-12-31").cast("date"))).withColumns({"eom": day("eom"), "me": finite("me"), "ret": finite("ret")})
 
 
 @query("""SELECT 'lineitem' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer

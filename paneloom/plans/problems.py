@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +25,46 @@ def in_span(time: str = "filing_date") -> Column:
     return (F.col(time) >= F.lit(SPAN[0]).cast("timestamp_ntz")) & (F.col(time) < F.lit(SPAN[1]).cast("timestamp_ntz"))
 
 
-def filing_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Cumulative counts and totals of filings by security, item type and day."""
-    filings = table(spark, folder, "filings_8k", ["document_id", "permno", "filing_date", "items", *TOTALS]).where(in_span())
+#: The number of items of each section of the form, numbered 1.01, 1.02 and so on, and their paragraph letters.
+FORM_ITEMS = {1: 5, 2: 6, 3: 3, 4: 2, 5: 8, 6: 6, 7: 1, 8: 1, 9: 1}
+PARAGRAPHS = "abcdefgh"
+ITEM_TYPES = [f"{section}.{item:02d}{letter}" for section, n in FORM_ITEMS.items() for item in range(1, n + 1) for letter in ("", *[f"({p})" for p in PARAGRAPHS])]
+
+
+def filing_store(spark: SparkSession, folder: str, totals: Sequence[str] = TOTALS) -> DataFrame:
+    """Cumulative counts and totals of all dated filings by security, item type and day."""
+    filings = table(spark, folder, "filings_8k", ["document_id", "permno", "filing_date", "items", *totals])
     filings = filings.withColumn("types", F.filter(F.transform("items", item_type), lambda t: t.isNotNull()))
-    return cumulative_store(daily_totals(filings, "permno", "types", "filing_date", "document_id", TOTALS), TOTALS)
+    return cumulative_store(daily_totals(filings, "permno", "types", "filing_date", "document_id", totals), totals)
+
+
+def span_features(store: DataFrame, end: str, totals: Sequence[str], windows: dict[str, int] | None = None) -> DataFrame:
+    """Features of the filings from the beginning of the span to ``end``: a window like any other, the difference of the store's
+    two endpoints, so that days with impossible dates before the span drop out of it. Security and type need a filing in the window; the
+    newest one up to ``end`` is then in it too."""
+    days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(SPAN[0])).days + 1
+    features = as_of_features(store, end, totals, {"span": days, **(windows or {})}).where("n_span > 0")
+    return features.drop("n", *totals).withColumnsRenamed({f"{c}_span": c for c in ("n", *totals)})
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    features = as_of_features(filing_store(spark, folder), "2026-08-31", TOTALS)
+    features = span_features(filing_store(spark, folder, ()), "2026-08-31", ())
     return features.select(F.col("entity").alias("permno"), "event_type", F.col("newest_id").alias("document_id"))
 
 
 def p2_features(spark: SparkSession, folder: str) -> DataFrame:
-    features = as_of_features(filing_store(spark, folder), "2026-08-31", TOTALS, {"365d": 365})
+    """One row per security, the same columns on any data: those of all items and paragraphs of the form."""
+    features = span_features(filing_store(spark, folder), "2026-08-31", TOTALS, {"365d": 365})
     features = features.withColumn("newest", F.to_date("newest"))
-    return wide_features(features, ["n", "newest", *TOTALS, "n_365d"], ["n", *TOTALS, "n_365d"]).withColumnRenamed("entity", "permno")
+    return wide_features(features, WIDE, [c for c in WIDE if c != "newest"], ITEM_TYPES).withColumnRenamed("entity", "permno")
+
+
+WIDE = ("n", "newest", *TOTALS, "n_365d")
 
 
 def p2_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The long form at an earlier date, with features of the last 30 and 365 days."""
-    features = as_of_features(filing_store(spark, folder), "2022-06-30", TOTALS, {"30d": 30, "365d": 365})
+    features = span_features(filing_store(spark, folder), "2022-06-30", TOTALS, {"30d": 30, "365d": 365})
     return features.withColumn("newest", F.date_format("newest", "yyyy-MM-dd")).withColumnRenamed("entity", "permno")
 
 
@@ -52,6 +74,7 @@ PANEL_ATTRIBUTES = ("gvkey", "iid", "gics", "size_grp", "me", "prc", "loaded_at"
 def _known(spark: SparkSession, folder: str, attributes: tuple[str, ...]) -> DataFrame:
     filings = table(spark, folder, "filings_8k", ["document_id", "permno", "filing_date"]).where(in_span() & F.col("permno").isNotNull())
     panel = table(spark, folder, "chars_final_with_names", list(dict.fromkeys(["permno", "loaded_at", "eom", "delivery_id", *attributes])))
+    panel = panel.withColumns({c: finite(c) for c in ("me", "prc") if c in attributes})
     return known_at(
         filings, panel, event_entity="permno", event_time="filing_date", keep=["document_id", "permno", "filing_date"], change_entity="permno",
         available_at="loaded_at", rank=["eom", "delivery_id"], attributes=attributes, drop_unmatched=not attributes,
@@ -63,7 +86,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every filing in span with the panel attributes known at its date; nulls where nothing was known."""
+    """Every filing in span with the panel attributes known at its date; nulls where nothing was known and for numbers that are NaN
+    or infinite."""
     known = _known(spark, folder, PANEL_ATTRIBUTES)
     shown = {"filing_date": F.date_format("filing_date", "yyyy-MM-dd HH:mm:ss"), "loaded_at": F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss"), "eom": F.date_format("eom", "yyyy-MM-dd")}
     return known.select(*[shown[c].alias(c) if c in shown else c for c in known.columns])
@@ -143,7 +167,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return cells.where(F.col("field_name").isNotNull()).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_windows, p3_found, p3_attributes, p4_found, p4_fill, p5_found, p5_changes)}
+def p4_known(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of :func:`p4_fill` with their marks, filled values taken out again: what was known must come through as it was."""
+    filled = p4_fill(spark, folder)
+    kept = {c: F.when(~F.col(f"{c}_filled"), F.col(c)).alias(c) for c in ("beta_60m", "gics")}
+    return filled.select("permno", F.date_format("eom", "yyyy-MM-dd").alias("eom"), "delivery_id", *kept.values(), "beta_60m_filled", "gics_filled").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_windows, p3_found, p3_attributes, p4_found, p4_fill, p4_known, p5_found, p5_changes)}
 
 _TYPED = r"""
 typed AS (
@@ -182,21 +213,26 @@ def _window_total(column: str, days: int) -> str:
     return f"{value} AS {column}_{days}d"
 
 
+def _pivot_name(event_type: str) -> str:
+    return f"'t_' || rtrim(regexp_replace({event_type}, '[^0-9A-Za-z]+', '_', 'g'), '_')"
+
+
 _KNOWN = """
 WITH f AS (SELECT DISTINCT document_id, permno, filing_date FROM filings_8k
            WHERE filing_date >= '2015-01-01' AND filing_date < '2026-09-01' AND permno IS NOT NULL),
-c AS (SELECT DISTINCT permno, loaded_at, eom, delivery_id, gvkey, iid, gics, size_grp, me, prc FROM chars_final_with_names),
+c AS (SELECT DISTINCT permno, loaded_at, eom, delivery_id, gvkey, iid, gics, size_grp, CASE WHEN isfinite(me) THEN me END AS me, CASE WHEN isfinite(prc) THEN prc END AS prc
+  FROM chars_final_with_names),
 best AS (SELECT f.document_id, f.permno, f.filing_date, c.* EXCLUDE (permno) FROM f {join} JOIN c ON f.permno = c.permno AND c.loaded_at <= f.filing_date
   QUALIFY row_number() OVER (PARTITION BY f.document_id, f.permno, f.filing_date ORDER BY c.eom DESC NULLS LAST, c.delivery_id DESC NULLS LAST) = 1)
 SELECT {columns} FROM best"""
 
 ORACLE = {
     "p2_found": f"WITH {_TYPED} SELECT permno, event_type, newest_id AS document_id FROM ({_FEATURES} FROM typed GROUP BY permno, event_type)",
-    "p2_features": f"""WITH {_TYPED}, features AS (SELECT permno, 't_' || rtrim(regexp_replace(event_type, '[^0-9A-Za-z]+', '_', 'g'), '_') AS t, count(*) AS n,
+    "p2_features": f"""WITH {_TYPED}, features AS (SELECT permno, {_pivot_name("event_type")} AS t, count(*) AS n,
     CAST(max(filing_date) AS DATE) AS newest, CAST(coalesce(sum(text_chars), 0) AS BIGINT) AS text_chars, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS word_count,
     count(*) FILTER (filing_date >= TIMESTAMP '2026-09-01' - INTERVAL 365 DAY) AS n_365d FROM typed GROUP BY permno, event_type)
-PIVOT features ON t USING coalesce(first(n), 0) AS n, first(newest) AS newest, coalesce(first(text_chars), 0) AS text_chars, coalesce(first(word_count), 0) AS word_count,
-  coalesce(first(n_365d), 0) AS n_365d GROUP BY permno""",
+FROM features PIVOT (coalesce(first(n), 0) AS n, first(newest) AS newest, coalesce(first(text_chars), 0) AS text_chars, coalesce(first(word_count), 0) AS word_count,
+  coalesce(first(n_365d), 0) AS n_365d FOR t IN ({', '.join("'t_" + t.replace('.', '_').replace('(', '_').replace(')', '') + "'" for t in ITEM_TYPES)}) GROUP BY permno)""",
     "p2_windows": f"WITH {_TYPED} {_FEATURES}, {', '.join(_window_total(c, d) for d in (30, 365) for c in ('n', *TOTALS))} FROM typed WHERE filing_date < '2022-07-01' GROUP BY permno, event_type",
     "p3_found": _KNOWN.format(join="", columns="document_id, strftime(eom, '%Y-%m-%d') AS eom, delivery_id"),
     "p3_attributes": _KNOWN.format(
@@ -207,6 +243,8 @@ PIVOT features ON t USING coalesce(first(n), 0) AS n, first(newest) AS newest, c
   WHERE beta_60m IS NULL OR isnan(beta_60m) OR abs(beta_60m) > 10
 UNION ALL SELECT DISTINCT permno, strftime(eom, '%Y-%m-%d'), delivery_id, 'gics' FROM chars_final_with_names
   WHERE gics IS NULL OR trim(gics) NOT IN (SELECT gics FROM gics_codes)""",
+    "p4_known": """SELECT DISTINCT permno, strftime(eom, '%Y-%m-%d') AS eom, delivery_id, CASE WHEN NOT b THEN beta_60m END AS beta_60m, CASE WHEN NOT g THEN trim(gics) END AS gics, b AS beta_60m_filled, g AS gics_filled
+  FROM (SELECT *, beta_60m IS NULL OR isnan(beta_60m) OR abs(beta_60m) > 10 AS b, gics IS NULL OR trim(gics) NOT IN (SELECT gics FROM gics_codes) AS g FROM chars_final_with_names)""",
     "p5_found": f"""WITH {_FINAL},
 marked AS (SELECT *, CASE WHEN (gvkey, iid, ticker) IS NOT DISTINCT FROM lag((gvkey, iid, ticker)) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS starts
   FROM filled WINDOW w AS (PARTITION BY permno ORDER BY eom)),
