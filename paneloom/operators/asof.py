@@ -2,8 +2,9 @@
 
 Events and attribute changes are put into one stream, sorted by entity and time with changes before events of the same
 time, and the best change so far is carried forward. The stream is cut by entity *and* time bucket, so that one hot
-entity is spread over all its buckets; what an entity knew when a bucket began comes from one carried-in row, made from
-the best change of each earlier bucket (at most one row per entity and bucket is shuffled for that).
+entity is spread over all its buckets. What an entity knew when a bucket began is the best change of its earlier buckets: one
+row per entity and bucket that has rows, made from the same shuffled stream (Spark reuses the exchange, so each input
+is read once) and joined back to it without moving it again.
 """
 
 from __future__ import annotations
@@ -42,27 +43,23 @@ def known_at(
     e = events.select(F.col(event_entity).alias("entity"), F.col(event_time).cast("timestamp").alias("at"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
     c = changes.where(F.col(change_entity).isNotNull() & F.col(available_at).isNotNull() & F.col(rank[0]).isNotNull())
     c = c.select(F.col(change_entity).alias("entity"), F.col(available_at).cast("timestamp").alias("at"), F.struct(*[F.col(x).alias(n) for x, n in zip(best, names)]).alias("best"))
-    c = c.withColumn("bucket", bucket)
-    timed = e.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).withColumn("bucket", bucket)
-
-    # Best change per entity and bucket, its running best, and a carried-in row for each later bucket up to the next change.
-    last = timed.agg(F.max("bucket")).first()[0]
-    per = c.groupBy("entity", "bucket").agg(F.max("best").alias("best"))
-    w = Window.partitionBy("entity").orderBy("bucket")
-    until = F.coalesce(F.lead("bucket").over(w), F.lit(last).cast("int"))
-    carried = per.select("entity", F.max("best").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best"), (F.col("bucket") + 1).alias("from"), until.alias("until"))
-    carried = carried.where("until >= from").select("entity", F.explode(F.sequence("from", "until")).alias("bucket"), "best")
-
+    timed = e.where(F.col("entity").isNotNull() & F.col("at").isNotNull())
     empty = [F.lit(None).cast(events.schema[k].dataType).alias(n) for k, n in zip(keep, kept)]
-    stream = timed.select("entity", "bucket", "at", F.lit(2).alias("turn"), F.lit(None).cast(kind).alias("best"), *kept)
-    stream = stream.unionByName(c.select("entity", "bucket", "at", F.lit(1).alias("turn"), "best", *empty))
-    stream = stream.unionByName(carried.select("entity", "bucket", F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("turn"), "best", *empty))
-    # The carried-in rows have a null time, which sorts first; changes (1) precede events (2) of the same time.
-    forward = Window.partitionBy("entity", "bucket").orderBy(F.col("at").asc_nulls_first(), "turn").rowsBetween(Window.unboundedPreceding, 0)
-    out = stream.select("entity", "bucket", "at", "turn", F.max("best").over(forward).alias("best"), *kept).where("turn = 2")
+    stream = timed.select("entity", "at", F.lit(2).alias("turn"), F.lit(None).cast(kind).alias("best"), *kept)
+    stream = stream.unionByName(c.select("entity", "at", F.lit(1).alias("turn"), "best", *empty)).withColumn("bucket", bucket)
+    # Copies of an event and changes of the same time become one row; all its columns are keys here, so that both uses of the
+    # shuffled stream below need the same ones and share it.
+    once = stream.where(F.col("bucket").isNotNull()).repartition("entity", "bucket").groupBy("entity", "bucket", "at", "turn", *kept).agg(F.max("best").alias("best"))
+
+    earlier = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = once.groupBy("entity", "bucket").agg(F.max("best").alias("best"))
+    before = per.select(F.col("entity").alias("e0"), F.col("bucket").alias("b0"), F.max("best").over(earlier).alias("before"))
+    # Changes (1) precede events (2) of the same time.
+    forward = Window.partitionBy("entity", "bucket").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    out = once.select("entity", "bucket", "at", "turn", F.max("best").over(forward).alias("inside"), *kept).where("turn = 2")
+    out = out.join(before, (F.col("entity") == F.col("e0")) & (F.col("bucket") == F.col("b0"))).withColumn("best", F.greatest("inside", "before"))
     if drop_unmatched:
         out = out.where(F.col("best").isNotNull())
-    out = out.dropDuplicates(["entity", "bucket", "at", *kept])  # same partitioning: no further shuffle
     columns = [*[F.col(n).alias(k) for n, k in zip(kept, keep)], *[F.col(f"best.{n}").alias(x) for n, x in zip(names, labels)]]
     out = out.select(*columns)
     if not drop_unmatched:
