@@ -243,6 +243,56 @@ def test_fill_edges(spark):
     assert all(r["g"] is not None and "other" not in r["g"] for r in out)
 
 
+def test_rare_values_are_told_apart(spark):
+    """More values than states: each cell still comes back as the value that goes with its neighbour field, also a rare one."""
+    rng = random.Random(6)
+    data = []
+    for i in range(4000):
+        k = rng.randrange(5) if rng.random() < 0.5 else rng.randrange(5, 300)
+        data.append((i, None if rng.random() < 0.2 else f"g{k}", f"n{k}", f"g{k}", "clash"))
+    data += [(9001, None, "never seen", None, "clash"), (9002, None, None, None, "clash")]
+    df = spark.createDataFrame(data, "i long, g string, near string, truth string, key string")
+    tree = fit_tree(df, {}, ["g", "near"], max_states=16)
+    assert tree.fields[0].shared and tree.fields[0].size == 16
+    out = fill_missing(df, tree, ["g"])
+    assert out.columns == ["i", "g", "near", "truth", "key", "g_filled"]
+    got = out.collect()
+    assert len(got) == len(data) and all(r["g"] is not None and "other" not in r["g"] for r in got)
+    seen = {r[1] for r in data} - {None}
+    hidden = [r for r in got if r["g_filled"] and r["truth"] in seen]
+    rare = [r for r in hidden if int(r["truth"][1:]) >= 20]
+    assert len(rare) > 200 and sum(r["g"] == r["truth"] for r in rare) == len(rare)
+    assert sum(r["g"] == r["truth"] for r in hidden) > 0.99 * len(hidden)
+
+
+def test_known_at_reads_each_input_once(spark, tiny):
+    """A hot entity and idle ones: no rows are made for months without events, and both uses of the stream share one shuffle."""
+    changes = [(1, at(d), d, d, "a", "", "") for d in range(0, 900, 30)] + [(p, at(0), 1, 1, "idle", "", "") for p in range(2, 40)]
+    events = [(str(i), 1, at(i % 900), "", "") for i in range(2000)] + [("far", 7, at(9000), "", "")]
+    out = as_of(spark, events, changes)
+    got = {r["id"]: (r["m"], r["a"]) for r in out.collect()}
+    assert got.pop("far") == (1, "idle") and len(got) == 2000 and all(got[str(i)] == (i % 900 // 30 * 30, "a") for i in range(2000))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "Generate" not in plan
+
+
+def test_day_of_one_entity_is_added_up_in_parts(spark):
+    data = [(1, at(0, i % 24), str(i // 2), ["p"], 1, "", 0) for i in range(400)]
+    f = as_of_features(store(spark, data), "2020-01-01", ["x"]).first()
+    distinct = {(h, i) for _, h, i, *_ in data}
+    newest = max(h for h, _ in distinct)
+    assert (f["n"], f["x"], f["newest"], f["newest_id"]) == (len(distinct), len(distinct), newest, min(i for h, i in distinct if h == newest))
+
+
+def test_wide_table_has_given_types_first(spark):
+    f = as_of_features(store(spark, [(1, at(0), "b", ["9.99"], 5, "", 0)]), "2020-01-11", ["x"])
+    wide = wide_features(f, ["n", "newest"], ["n"], ["5.02(b)", "1.01"])
+    assert wide.columns == ["entity", "t_5_02_b_n", "t_5_02_b_newest", "t_1_01_n", "t_1_01_newest", "t_9_99_n", "t_9_99_newest"]
+    assert rows(wide, "entity") == [(1, 0, None, 0, None, 1, at(0))]
+    assert rows(wide_features(f.limit(0), ["n"], ["n"], ["1.01"]), "entity") == []
+
+
 def test_held_out_accuracy(spark, tiny):
     """Known cells of the panel, hidden, come back close to the truth."""
     from paneloom.plans.problems import TREE_CATEGORICAL, TREE_NUMERIC, panel_with_context
