@@ -91,7 +91,7 @@ def normal_cdf_column(x: Column | str) -> Column:
 def benjamini_hochberg(df: DataFrame, p_value: str, q: float = 0.1, tie: str = "feature") -> DataFrame:
     """``df`` with ``bh_rank`` and ``selected``: all hypotheses up to the largest rank k with p <= k / n * q. Null p-values count
     in n and are never selected. One row per hypothesis is sorted in one task: thousands, not rows of data."""
-    w = Window.orderBy(F.col(p_value).asc_nulls_last(), tie)
+    w = Window.orderBy(F.round(p_value, 12).asc_nulls_last(), tie)  # to twelve digits, as summation order must not decide
     n = F.count(F.lit(1)).over(Window.partitionBy())
     ranked = df.withColumn("bh_rank", F.row_number().over(w))
     last = F.max(F.when(F.col(p_value) <= F.col("bh_rank") / n * q, F.col("bh_rank"))).over(Window.partitionBy())

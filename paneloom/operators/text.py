@@ -87,13 +87,11 @@ def drop_boilerplate(text: Column | str) -> Column:
     return F.array_join(F.filter(F.split(_as(text), SENTENCE), lambda s: ~is_boilerplate(s)), " ")
 
 
-def strip_suffix(name: Column | str, rounds: int = 8) -> Column:
-    """A company name without its legal suffixes and a trailing jurisdiction, taken off one after the other."""
-    c = F.trim(_as(name))
-    suffix = r"(?iU)(?:[,.]|\s)+(?:" + "|".join(SUFFIXES) + r")\.?\s*$"
-    for _ in range(rounds):
-        c = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s*[/(][A-Za-z]{2,6}[/)]\s*$", "")), suffix, ""))
-    return c
+def strip_suffix(name: Column | str) -> Column:
+    """A company name without its legal suffixes and trailing jurisdictions, however many follow each other: the whole run of them
+    up to the end is taken off by one pattern."""
+    ending = r"(?iU)(?:" + JURISDICTION.removesuffix("$") + r"|(?:[,.]|\s)+(?:" + "|".join(SUFFIXES) + r")\.?\s*)+$"
+    return F.trim(F.regexp_replace(F.trim(_as(name)), ending, ""))
 
 
 def name_variants(names: Sequence[Column | str]) -> tuple[Column, Column]:

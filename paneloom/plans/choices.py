@@ -30,7 +30,7 @@ def _ic(spark: SparkSession, folder: str, *group: str) -> DataFrame:
 
 @query(with_(f"""{_LONG}, {ic_sql()},
 m AS (SELECT test_year, feature, avg(ic) AS mean_ic FROM (SELECT i.*, last_day(eom + INTERVAL 1 DAY) AS month FROM i), (SELECT CAST(unnest(range(2021, 2027)) AS INTEGER) AS test_year) WHERE year(month) BETWEEN test_year - 2 AND test_year - 1 AND ic IS NOT NULL GROUP BY ALL)
-SELECT test_year, feature, {rs('mean_ic')} AS mean_ic FROM m QUALIFY row_number() OVER (PARTITION BY test_year ORDER BY mean_ic DESC, feature) = 1""", "panel"))
+SELECT test_year, feature, {rs('mean_ic')} AS mean_ic FROM m QUALIFY row_number() OVER (PARTITION BY test_year ORDER BY round(mean_ic, 10) DESC, feature) = 1""", "panel"))
 def walk_choice(spark: SparkSession, folder: str) -> DataFrame:
     """The signal of the best rank correlation over the two years before each test year."""
     best = choice.best_by_validation(_ic(spark, folder).withColumn("month", series.next_month("eom")), range(2021, 2027))
@@ -39,7 +39,7 @@ def walk_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_(f"""{_LONG}, {ic_sql('size_grp')},
 t AS (SELECT size_grp, feature, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS t FROM i GROUP BY ALL),
-n AS (SELECT *, coalesce(abs(t) > 2, false) AS selected, row_number() OVER (PARTITION BY size_grp ORDER BY coalesce(abs(t) > 2, false) DESC, abs(t) DESC NULLS LAST, feature) AS k FROM t)
+n AS (SELECT *, coalesce(abs(t) > 2, false) AS selected, row_number() OVER (PARTITION BY size_grp ORDER BY coalesce(abs(t) > 2, false) DESC, round(abs(t), 10) DESC NULLS LAST, feature) AS k FROM t)
 SELECT size_grp, feature, {rs('t', 4)} AS t, selected FROM n WHERE selected OR k <= 3""", "panel"))
 def feature_top_up(spark: SparkSession, folder: str) -> DataFrame:
     """Features of large t-statistic by size group, topped up to three in each group."""

@@ -9,7 +9,7 @@ from paneloom.functions.columns import finite, month_number
 from paneloom.operators import cross, series
 from paneloom.plans.base import CHARACTERISTICS, day, ds, filings, market, panel, query, r, rs, with_
 from paneloom.sources import table
-from paneloom.sources.files import csv_table, profile
+from paneloom.sources.files import csv_table, footers, profile, schema_table
 
 RANK = "rank() OVER (PARTITION BY {g}, ({x} IS NULL) ORDER BY {x}) + (count(*) OVER (PARTITION BY {g}, {x}) - 1) / 2.0"
 
@@ -42,6 +42,28 @@ def table_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+_TYPE_SQL = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR[]' THEN 'array<string>' ELSE lower(data_type) END"
+_DESCRIBED = ("chars_final_with_names", "filings_8k", "filing_scores")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, column_index AS place, column_name AS feature, {_TYPE_SQL} AS type FROM (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS column_index, * FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE {t})))" for t in _DESCRIBED))
+def table_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns and types of tables, from metadata."""
+    made = [schema_table(table(spark, folder, t)).select(F.lit(t).alias("name"), "place", "feature", "type") for t in _DESCRIBED]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+_RANGED = ("permno", "delivery_id", "eom", "age")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM chars_final_with_names" for c in _RANGED))
+def footer_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls and limits of columns, from the files' footers only."""
+    rows = footers(spark, f"{folder}/chars_final_with_names.parquet", _RANGED)
+    place = lambda c: F.expr(f"coalesce(try_cast({c} as double), cast(unix_date(try_cast({c} as date)) as double))")
+    return rows.groupBy("feature").agg(F.sum("rows").alias("n"), F.sum("nulls").alias("nulls"), F.min_by("least", place("least")).alias("least"), F.max_by("greatest", place("greatest")).alias("greatest"))
+
+
 _COUNTED = ("permno", "gvkey", "gics", "ticker", "me", "ret", "beta_60m", "be_me", "at_be")
 
 

@@ -21,7 +21,7 @@ from paneloom.sources import table
 def _name_sql(c: str, rounds: int = 8) -> str:
     x = f"trim({c})"
     for _ in range(rounds):
-        x = f"trim(regexp_replace(trim(regexp_replace({x}, '\\s*[/(][A-Za-z]{{2,6}}[/)]\\s*$', '')), '(?i)(?:[,.]|\\s)+(?:{'|'.join(text.SUFFIXES)})\\.?\\s*$', ''))"
+        x = f"trim(regexp_replace(trim(regexp_replace({x}, '{text.JURISDICTION}', '')), '(?i)(?:[,.]|\\s)+(?:{'|'.join(text.SUFFIXES)})\\.?\\s*$', ''))"
     return x
 
 
@@ -177,7 +177,7 @@ i AS (SELECT feature, eom, CASE WHEN count(*) >= 5 THEN covar_pop(a, b) / nullif
 t AS (SELECT feature, abs(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0)) AS t FROM i GROUP BY feature),
 c AS (SELECT *, 1 / (1 + 0.2316419 * t) AS s FROM t),
 p AS (SELECT feature, 2 * exp(-t * t / 2) / sqrt(2 * pi()) * s * (0.319381530 + s * (-0.356563782 + s * (1.781477937 + s * (-1.821255978 + s * 1.330274429)))) AS p FROM c),
-n AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, feature) AS k, count(*) OVER () AS n FROM p)
+n AS (SELECT *, row_number() OVER (ORDER BY round(p, 12) NULLS LAST, feature) AS k, count(*) OVER () AS n FROM p)
 SELECT feature, {rs('p')} AS p, CAST(k AS INTEGER) AS bh_rank, coalesce(k <= (SELECT max(k) FROM n WHERE p <= k / n * 0.5) AND p IS NOT NULL, false) AS selected FROM n""", "panel"))
 def bh_select(spark: SparkSession, folder: str) -> DataFrame:
     """Features by false discovery rate of their information coefficients."""

@@ -61,7 +61,7 @@ def scored_filings(spark: SparkSession, folder: str) -> DataFrame:
     return f.join(s, "document_id", "left_semi").withColumn("scored", F.lit(True)).unionByName(f.join(s, "document_id", "left_anti").withColumn("scored", F.lit(False)))
 
 
-@query(with_("SELECT document_id, permno, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM filings ORDER BY filing_date, document_id LIMIT 1000", "filings"))
+@query(with_("SELECT document_id, permno, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM filings", "filings"))
 def sorted_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """All filings by date, ties by id."""
     rows = filings(spark, folder).orderBy("filing_date", "document_id")
@@ -72,7 +72,7 @@ _GRID = "grid AS (SELECT DISTINCT permno, eom FROM book)"
 
 
 @query(with_(f"""{_GRID},
-own AS (SELECT g.permno, g.eom, p.ticker FROM grid g LEFT JOIN (SELECT permno, eom, ticker FROM panel WHERE trim(ticker) <> '' AND month(eom) % 3 = 0) p ON p.permno = g.permno AND p.eom <= g.eom
+own AS (SELECT g.permno, g.eom, p.ticker FROM grid g LEFT JOIN (SELECT permno, eom, ticker FROM panel WHERE trim(ticker) <> '') p ON p.permno = g.permno AND p.eom <= g.eom
   QUALIFY row_number() OVER (PARTITION BY g.permno, g.eom ORDER BY p.eom DESC NULLS LAST) = 1),
 fil AS (SELECT g.permno, g.eom, f.ticker FROM grid g LEFT JOIN (SELECT permno, CAST(filing_date AS DATE) AS d, document_id, ticker FROM filings WHERE trim(ticker) <> '') f ON f.permno = g.permno AND f.d <= g.eom
   QUALIFY row_number() OVER (PARTITION BY g.permno, g.eom ORDER BY f.d DESC NULLS LAST, f.document_id DESC) = 1)

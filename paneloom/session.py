@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,7 +41,8 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     package = pathlib.Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="paneloom-ship-")  # on the driver only; addPyFile takes a copy at once
+    folder = tempfile.mkdtemp(prefix="paneloom-ship-")  # on the driver only
+    atexit.register(shutil.rmtree, folder, True)  # local files are served to executors from where they are, until the end
     archive = f"{folder}/{package.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
         for source in sorted(package.rglob("*.py")):
@@ -65,17 +67,23 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and lets
-    several later passes read the same rows. :func:`discard` drops it early; all are dropped when the process ends, and not
-    when a query function returns, as the frame it returns may still read them."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with all others of the application when the process ends."""
     folder = f"{scratch_root(spark)}/paneloom-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_remove, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors and lets
+    several later passes read the same rows; ``by`` gives each value of that column a folder of its own. :func:`discard` drops it
+    early; all are dropped when the process ends, and not when a query function returns, as the frame it returns may still
+    read them."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_at = path
     return out

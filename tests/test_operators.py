@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paneloom.operators import beta, book, cross, geometry, models, report, series, stats
 from paneloom.operators import choice
-from paneloom.sources.files import cache_or_compute, read_csv, write_chunks, write_submission
+from paneloom.sources.files import cache_or_compute, footers, read_csv, schema_table, write_chunks, write_json, write_submission
 from paneloom.streaming.windows import daily_features, event_stream, run_to_end
 
 END = lambda y, m: (dt.date(y + m // 12, m % 12 + 1, 1) - dt.timedelta(days=1))
@@ -222,6 +222,39 @@ def test_chunks_resume(spark, tmp_path):
     assert out.count() == 100 and out.where("double <> k * 2").count() == 0
 
 
+def test_chunks_scan_the_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).selectExpr("id as k", "'x' as chunk").mapInArrow(count, "k long, chunk string")
+    assert write_chunks(df, "k", str(tmp_path / "c"), 8, lambda part: part) == 8
+    assert seen.value == 1000
+    out = spark.read.parquet(*[str(tmp_path / "c" / f"chunk={i:05d}") for i in range(8)])
+    assert out.columns == ["k", "chunk"] and out.select("k").distinct().count() == out.count() == 1000
+
+
+def test_json_and_footers(spark, tmp_path):
+    import json
+
+    write_json(spark, {"b": 1.5, "a": [1, 2]}, f"file://{tmp_path}/deep/p.json")
+    assert json.loads((tmp_path / "deep" / "p.json").read_text()) == {"a": [1, 2], "b": 1.5}
+    spark.createDataFrame([(1, "b"), (7, None), (None, "a")], "x int, s string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = {r["feature"]: (r["rows"], r["nulls"], r["least"], r["greatest"]) for r in footers(spark, str(tmp_path / "t"), ["x", "s", "none"]).collect()}
+    assert got == {"x": (3, 1, "1", "7"), "s": (3, 1, "a", "b"), "none": (3, None, None, None)}
+    assert [tuple(r) for r in schema_table(spark.createDataFrame([], "x int, s array<string>")).collect()] == [(0, "x", "int"), (1, "s", "array<string>")]
+
+
+def test_equal_means_do_not_depend_on_summation(spark):
+    ic = [("b", END(2019, 1), 0.1), ("b", END(2019, 2), 0.2), ("b", END(2019, 3), 0.3), ("a", END(2019, 1), 0.3), ("a", END(2019, 2), 0.2), ("a", END(2019, 3), 0.1)]
+    for data in (ic, ic[::-1]):
+        best = choice.best_by_validation(spark.createDataFrame(data, "feature string, month date, ic double").coalesce(1), [2020]).first()
+        assert best["feature"] == "a"
+
+
 def test_stream_equals_batch(spark, tiny, tmp_path):
     batch = spark.read.parquet(f"{tiny}/events.parquet")
     source = tmp_path / "in"

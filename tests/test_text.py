@@ -55,3 +55,9 @@ def test_short_variants_need_length(spark):
 def test_boilerplate_predicate(spark):
     df = spark.createDataFrame([("shall not be deemed filed",), ("furnished only",), ("Forward-Looking statement",), (None,)], "s string")
     assert [r[0] for r in df.select(F.coalesce(text.is_boilerplate("s"), F.lit(False))).collect()] == [True, False, True, False]
+
+
+def test_any_number_of_suffixes(spark):
+    names = ["Acme " + "Holdings Inc. " * 12 + "/DE/", "Group", "A.Co.Inc", "Cold  Company , Ltd. (UK) /NV/", "Incline Co-op", "", None, "X Corp (Delaware)"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i")
+    assert [r[0] for r in df.select(text.strip_suffix("n")).collect()] == ["Acme", "Group", "A", "Cold", "Incline Co-op", "", None, "X Corp (Delaware)"]
