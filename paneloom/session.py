@@ -89,6 +89,19 @@ def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> Da
     return out
 
 
+def materialize_bucketed(df: DataFrame, key: str, name: str = "stage", buckets: int | None = None) -> DataFrame:
+    """Like :func:`materialize`, with the rows lying by a hash of ``key``, in as many parts as the session's shuffles have: a join by
+    ``key`` moves the other side only. The table is known to the catalog no longer than it takes to read it."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = scratch_path(spark, name), f"paneloom_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._materialized_at = path
+    spark.sql(f"DROP TABLE {table}")  # the files stay: they are the application's
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame made by :func:`materialize` that nothing will read any more."""
     _remove(df.sparkSession, df._materialized_at)
