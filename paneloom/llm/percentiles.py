@@ -1,11 +1,12 @@
 """Percentiles per group of very large columns: distributed multi-select, and summaries that can be put together.
 
-:func:`multi_select` finds exact order statistics. Values are packed once into sorted chunks; then, round by round, each
+:func:`multi_select` finds exact order statistics. Values are packed into sorted chunks and moved once, to the place that a
+hash of their group gives (a large group has many places); after that they stay where they are. Then, round by round, each
 partition proposes the median of the values still possible for a wanted rank, the weighted median of the proposals
 becomes the pivot, the values below, at and above it are counted, and the range that cannot hold the rank is discarded.
-A rank whose remaining range is small is read off directly. Every round discards at least a quarter of what is left of a
-rank's range and usually half, so n values take some log2(n / finish) rounds; a round shuffles one proposal and one count
-per partition and wanted rank, never the values.
+Ranks of a group that have the same range left share its pivot. A range with few values left is read off directly.
+Every round discards at least a quarter of what is left of a range and usually half, so n values take some log2(n / finish)
+rounds; a round moves the open ranges to the chunks and one proposal and one count per partition and range back, never values.
 
 :func:`summarize` keeps evenly spaced order statistics of each part (a partition, a day, a delivery), and
 :func:`merge_summaries` adds the parts up, also with parts taken away again, giving each percentile with a bound of its
@@ -18,150 +19,184 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paneloom.functions.columns import finite
-from paneloom.session import discard, materialize
+from paneloom.session import discard, materialize, materialize_bucketed
 
 #: Values that a Python worker holds before it sorts and emits them as chunks.
 BUFFER = 1 << 18
-#: Up to so many wanted ranks (some 10 MB) are broadcast to the chunks; more are joined by sorting.
-BROADCAST_RANKS = 100_000
+#: (length of a chunk, places that chunks of at least this length of a group are spread over): the larger a group's share of a
+#: buffer, the more places it gets, so that a group of a third of all values is not one task.
+PLACES = ((1 << 13, 256), (1 << 8, 16), (0, 1))
+#: A range of ranks still possible: that many values are at or below its lower end, that many inside it.
+RANGE = ["gid", "below", "left"]
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` of at most ``rows`` rows as a join's side. Counted rows decide, not Spark's guess: it takes a table's size from its
-    files, and those of ranks are far smaller than the ranks."""
-    return F.broadcast(df) if rows <= BROADCAST_RANKS else df.hint("merge")
+def _packer(names: Sequence[str]):
+    """(gid, value, group columns) rows to (gid, slot, n, sorted values, group columns) chunks of at most BUFFER values. The slot is
+    the group's id with the number of one of its places."""
 
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gid, value) rows to (gid, sorted values) chunks of at most BUFFER values."""
-
-    def flush(ids: list[pa.Array], values: list[np.ndarray]) -> pa.RecordBatch:
-        coded = pa.chunked_array(ids).dictionary_encode().combine_chunks()
+    def flush(batches: list[pa.RecordBatch], turn: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        coded = table.column(0).combine_chunks().dictionary_encode()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        code, x = coded.indices.to_numpy(zero_copy_only=False), np.concatenate(values)
+        code, x = coded.indices.to_numpy(zero_copy_only=False), table.column(1).to_numpy()
         order = np.lexsort((x, code))
         code, x = code[order], x[order]
         at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.diff(np.append(at, len(x)))
+        gids = coded.dictionary.take(pa.array(code[at]))
+        places = np.select([n >= least for least, _ in PLACES], [many for _, many in PLACES])
+        slots = [f"{g}|{turn % many}" for g, many in zip(gids.to_pylist(), places)]
         chunks = pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(x))
-        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[at])), chunks], names=["gid", "chunk"])
+        first = pa.array(order[at])
+        return pa.RecordBatch.from_arrays([gids, pa.array(slots, pa.string()), pa.array(n, pa.int64()), chunks, *[table.column(2 + i).take(first).combine_chunks() for i in range(len(names))]], names=["gid", "slot", "n", "chunk", *names])
 
-    ids: list[pa.Array] = []
-    values: list[np.ndarray] = []
-    held = 0
-    for batch in batches:
-        if batch.num_rows:
-            ids.append(batch.column(0))
-            values.append(batch.column(1).to_numpy(zero_copy_only=False))
-            held += batch.num_rows
-        if held >= BUFFER:
-            yield flush(ids, values)
-            ids, values, held = [], [], 0
-    if held:
-        yield flush(ids, values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, turn = [], 0, 7 * TaskContext.get().partitionId()
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= BUFFER:
+                yield flush(held, turn)
+                held, rows, turn = [], 0, turn + 1
+        if held:
+            yield flush(held, turn)
+
+    return run
 
 
-def _wanted(row: int, wants: pa.ListArray) -> tuple[np.ndarray, ...]:
-    w = wants.value_offsets if hasattr(wants, "value_offsets") else wants.offsets
-    a, b = w[row].as_py(), w[row + 1].as_py()
-    s = wants.values.slice(a, b - a)
-    return tuple(s.field(i).to_numpy(zero_copy_only=False) for i in range(s.type.num_fields))
+def _wanted(row: int, offsets: np.ndarray, fields: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return tuple(f[offsets[row] : offsets[row + 1]] for f in fields)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, tuple[np.ndarray, ...]]]:
+    """(gid, sorted values, wants) of each chunk; wants are columns as given to ``over``."""
     for batch in batches:
         gids, chunks, wants = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
         offsets, values = chunks.offsets.to_numpy(), chunks.values.to_numpy(zero_copy_only=False)
+        ends, fields = wants.offsets.to_numpy(), [f.to_numpy(zero_copy_only=False) for f in wants.values.flatten()]
         for row, gid in enumerate(gids):
-            yield gid, values[offsets[row] : offsets[row + 1]], _wanted(row, wants)
+            yield gid, values[offsets[row] : offsets[row + 1]], _wanted(row, ends - wants.values.offset if wants.values.offset else ends, fields)
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One proposal per partition, group and wanted rank: the weighted median of the chunks' medians, with the number of
-    values still possible."""
-    found: dict[tuple[str, int], list[tuple[float, int]]] = {}
-    for gid, x, (rank, lo, hi) in _chunks(batches):
+    """One proposal per partition and range: the weighted median of the chunks' medians, with the number of values still
+    possible."""
+    found: dict[tuple[str, int, int], list[tuple[float, int]]] = {}
+    for gid, x, (below, left, lo, hi) in _chunks(batches):
         a, b = np.searchsorted(x, lo, side="right"), np.searchsorted(x, hi, side="left")
-        for k, i, j in zip(rank, a, b):
+        for k, m, i, j in zip(below.tolist(), left.tolist(), a.tolist(), b.tolist()):
             if j > i:
-                found.setdefault((gid, int(k)), []).append((float(x[i + (j - i - 1) // 2]), int(j - i)))
+                found.setdefault((gid, k, m), []).append((float(x[i + (j - i - 1) // 2]), j - i))
     out = []
-    for (gid, k), proposals in found.items():
+    for key, proposals in found.items():
         proposals.sort()
         weight = np.cumsum([w for _, w in proposals])
-        out.append((gid, k, proposals[int(np.searchsorted(weight * 2, weight[-1]))][0], int(weight[-1])))
+        out.append((*key, proposals[int(np.searchsorted(weight * 2, weight[-1]))][0], int(weight[-1])))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["gid", "rank", "median", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[*RANGE, "median", "weight"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values below and at the pivot within the range still possible, per partition, group and wanted rank."""
-    totals: dict[tuple[str, int], np.ndarray] = {}
-    for gid, x, (rank, lo, pivot) in _chunks(batches):
+    """Values of a range below and at its pivot, per partition and range."""
+    totals: dict[tuple[str, int, int], list[int]] = {}
+    for gid, x, (below, left, lo, pivot) in _chunks(batches):
         a, b, c = np.searchsorted(x, lo, side="right"), np.searchsorted(x, pivot, side="left"), np.searchsorted(x, pivot, side="right")
-        for k, below, same in zip(rank, b - a, c - b):
-            t = totals.setdefault((gid, int(k)), np.zeros(2, np.int64))
-            t += (below, same)
+        for k, m, less, same in zip(below.tolist(), left.tolist(), (b - a).tolist(), (c - b).tolist()):
+            t = totals.setdefault((gid, k, m), [0, 0])
+            t[0] += less
+            t[1] += same
     if totals:
-        keys = list(totals)
-        both = np.stack([totals[k] for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["gid", "rank", "less", "same"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(*k, *t) for k, t in totals.items()])], names=[*RANGE, "less", "same"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The values still possible, per chunk and wanted rank."""
-    for gid, x, (rank, lo, hi) in _chunks(batches):
-        a, b = np.searchsorted(x, lo, side="right"), np.searchsorted(x, hi, side="left")
-        some = [(gid, int(k), x[i:j]) for k, i, j in zip(rank, a, b) if j > i]
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some]), pa.array([s[1] for s in some], pa.int64()), pa.array([s[2] for s in some], pa.list_(pa.float64()))], names=["gid", "rank", "rest"])
+    """The values of each range, per chunk."""
+    for batch in batches:
+        made: list[tuple[str, int, int]] = []
+        parts: list[np.ndarray] = []
+        for gid, x, (below, left, lo, hi) in _chunks(iter([batch])):
+            a, b = np.searchsorted(x, lo, side="right"), np.searchsorted(x, hi, side="left")
+            for k, m, i, j in zip(below.tolist(), left.tolist(), a.tolist(), b.tolist()):
+                if j > i:
+                    made.append((gid, k, m))
+                    parts.append(x[i:j])
+        if made:
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in zip(*made)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))], names=[*RANGE, "rest"])
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks without the ranges that no wanted rank can lie in any more."""
-    for gid, x, (_, lo, hi) in _chunks(batches):
-        a, b = np.searchsorted(x, lo, side="right"), np.searchsorted(x, hi, side="left")
-        edge = np.zeros(len(x) + 1, np.int64)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, np.maximum(a, b), -1)
-        kept = x[np.cumsum(edge[:-1]) > 0]
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([kept], pa.list_(pa.float64()))], names=["gid", "chunk"])
+    for batch in batches:
+        slots = iter(batch.column(3).to_pylist())
+        for (gid, x, (_, _, lo, hi)), slot in zip(_chunks(iter([batch])), slots):
+            a, b = np.searchsorted(x, lo, side="right"), np.searchsorted(x, hi, side="left")
+            edge = np.zeros(len(x) + 1, np.int64)
+            np.add.at(edge, a, 1)
+            np.add.at(edge, np.maximum(a, b), -1)
+            kept = x[np.cumsum(edge[:-1]) > 0]
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([slot]), pa.array([len(kept)], pa.int64()), pa.array([kept], pa.list_(pa.float64()))], names=["gid", "slot", "n", "chunk"])
+
+
+def chunk_table(df: DataFrame, group: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Finite values as chunks (``gid, slot, n, chunk``), written once by slot, and the groups (``group, _gid, _n``). The input is read
+    once: the groups and their sizes come from the chunks."""
+    names = [f"g{i}" for i in range(len(group))]
+    keyed = df.select(finite(value).alias("value"), *[F.col(c).alias(n) for c, n in zip(group, names)]).where(F.col("value").isNotNull())
+    gid = F.to_json(F.struct(*names)) if group else F.lit("{}")
+    # Zero is written without a sign, so that the two zeros are one value.
+    rows = keyed.select(gid.alias("gid"), (F.col("value") + F.lit(0.0)).alias("value"), *names)
+    kinds = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, group)]
+    schema = T.StructType([T.StructField("gid", T.StringType()), T.StructField("slot", T.StringType()), T.StructField("n", T.LongType()), T.StructField("chunk", T.ArrayType(T.DoubleType())), *kinds])
+    chunks = materialize_bucketed(rows.mapInArrow(_packer(names), schema), "slot", "chunks")
+    groups = chunks.groupBy("gid").agg(F.sum("n").alias("_n"), *[F.first(n).alias(n) for n in names])
+    groups = groups.select(*[F.col(n).alias(c) for n, c in zip(names, group)], F.col("gid").alias("_gid"), "_n")
+    return chunks.select("gid", "slot", "n", "chunk"), materialize(groups, "groups")
 
 
-def multi_select(values: DataFrame, wanted: DataFrame, finish: int = 512, compact_every: int = 4) -> DataFrame:
-    """``gid, rank, value``: of ``values`` (``gid string, value double``, finite) the value of each 0-based ``rank`` of
+def multi_select(chunks: DataFrame, wanted: DataFrame, finish: int = 512, compact_every: int = 4) -> DataFrame:
+    """``gid, rank, value``: of the values in ``chunks`` (of :func:`chunk_table`) the value of each 0-based ``rank`` of
     ``wanted`` (``gid, n, rank``; n is the group's number of values), exactly.
 
-    A rank with at most ``finish`` values left is gathered (that many values, whatever the size of the group) and read
+    A range with at most ``finish`` values left is gathered (that many values, whatever the size of the group) and its ranks read
     off; above that, rounds go on. After ``compact_every`` rounds the chunks are rewritten without the discarded ranges.
+    Any number of groups and ranks takes the same way: no table is broadcast.
     """
-    chunks = materialize(values.mapInArrow(_pack, "gid string, chunk array<double>"), "chunks")
     lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
     state = wanted.select("gid", F.col("rank").cast("long").alias("rank"), lowest.alias("lo"), highest.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").cast("long").alias("left"), F.lit(None).cast("double").alias("value"))
     state = materialize(state.distinct(), "ranks")
+    slots = materialize(chunks.select("gid", "slot").distinct(), "slots")
+
+    def ranges(ranks: DataFrame) -> DataFrame:
+        return ranks.groupBy(*RANGE).agg(F.min(F.struct("lo", "hi")).alias("_r")).select(*RANGE, "_r.lo", "_r.hi")
 
-    def over(open_ranks: DataFrame, rows: int, *fields: str) -> DataFrame:
-        """Chunks beside the open ranks of their group."""
-        wants = open_ranks.groupBy("gid").agg(F.collect_list(F.struct("rank", *fields)).alias("wants"))
-        return chunks.join(_sized(wants, rows), "gid").select("gid", "chunk", "wants")
+    def over(wants: DataFrame, *fields: str) -> DataFrame:
+        """Chunks beside the ranges of their group. These are sent to the group's slots; the chunks lie there already."""
+        by = wants.groupBy("gid").agg(F.collect_list(F.struct("below", "left", *fields)).alias("wants"))
+        there = by.join(slots.hint("merge"), "gid").select("slot", "wants")
+        return chunks.join(there.hint("shuffle_hash"), "slot").select("gid", "chunk", "wants", "slot")
 
+    kind = "gid string, below long, left long, "
     rounds = 0
     is_open = F.col("value").isNull() & (F.col("left") > finish)
-    while many := state.where(is_open).count():
-        todo = state.where(is_open)
-        proposals = over(todo, many, "lo", "hi").mapInArrow(_propose, "gid string, rank long, median double, weight long")
-        w = Window.partitionBy("gid", "rank")
+    while state.where(is_open).limit(1).count():
+        proposals = over(ranges(state.where(is_open)), "lo", "hi").mapInArrow(_propose, kind + "median double, weight long")
+        w = Window.partitionBy(*RANGE)
         running = F.sum("weight").over(w.orderBy("median").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = proposals.select("gid", "rank", "median", (running * 2 >= F.sum("weight").over(w)).alias("enough"))
-        pivots = ranked.where("enough").groupBy("gid", "rank").agg(F.min("median").alias("pivot"))
-        aimed = materialize(todo.join(_sized(pivots, many), ["gid", "rank"]), "pivots")
-        counts = over(aimed, many, "lo", "pivot").mapInArrow(_count, "gid string, rank long, less long, same long")
-        counts = counts.groupBy("gid", "rank").agg(F.sum("less").alias("less"), F.sum("same").alias("same"))
-        c = aimed.join(_sized(counts, many), ["gid", "rank"])
+        ranked = proposals.select(*RANGE, "median", (running * 2 >= F.sum("weight").over(w)).alias("enough"))
+        pivots = ranked.where("enough").groupBy(*RANGE).agg(F.min("median").alias("pivot"))
+        aimed = materialize(ranges(state.where(is_open)).join(pivots.hint("merge"), RANGE), "pivots")
+        counts = over(aimed, "lo", "pivot").mapInArrow(_count, kind + "less long, same long")
+        counts = aimed.select(*RANGE, "pivot").join(counts.groupBy(*RANGE).agg(F.sum("less").alias("less"), F.sum("same").alias("same")).hint("merge"), RANGE)
+        c = state.where(is_open).join(counts.hint("merge"), RANGE)
         lower = F.col("rank") < F.col("below") + F.col("less")
         hit = ~lower & (F.col("rank") < F.col("below") + F.col("less") + F.col("same"))
         after = c.select(
@@ -174,26 +209,18 @@ def multi_select(values: DataFrame, wanted: DataFrame, finish: int = 512, compac
         discard(aimed)
         rounds += 1
         if rounds % compact_every == 0:
-            unknown = state.where(F.col("value").isNull())
-            whole, chunks = chunks, materialize(over(unknown, unknown.count(), "lo", "hi").mapInArrow(_compact, "gid string, chunk array<double>"), "chunks")
-            discard(whole)
+            unknown = ranges(state.where(F.col("value").isNull()))
+            smaller = over(unknown, "lo", "hi").mapInArrow(_compact, "gid string, slot string, n long, chunk array<double>")
+            chunks = materialize_bucketed(smaller, "slot", "chunks")
     unknown = state.where(F.col("value").isNull())
-    rest = over(unknown, unknown.count(), "lo", "hi").mapInArrow(_rest, "gid string, rank long, rest array<double>")
-    rest = rest.groupBy("gid", "rank").agg(F.sort_array(F.flatten(F.collect_list("rest"))).alias("rest"))
-    left = unknown.drop("value").join(rest.hint("merge"), ["gid", "rank"])
-    left = left.select("gid", "rank", F.expr("element_at(rest, cast(rank - below + 1 as int))").alias("value"))
+    rest = over(ranges(unknown), "lo", "hi").mapInArrow(_rest, kind + "rest array<double>")
+    rest = rest.groupBy(*RANGE).agg(F.sort_array(F.flatten(F.collect_list("rest"))).alias("rest"))
+    asked = unknown.groupBy(*RANGE).agg(F.collect_list("rank").alias("ranks"))
+    read = F.transform("ranks", lambda r: F.struct(r.alias("rank"), F.element_at("rest", (r - F.col("below") + 1).cast("int")).alias("value")))
+    left = asked.join(rest.hint("merge"), RANGE).select("gid", F.explode(read).alias("x")).select("gid", "x.rank", "x.value")
     return state.where(F.col("value").isNotNull()).select("gid", "rank", "value").unionByName(left)
 
 
-def _grouped(df: DataFrame, group: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Finite values with their group's id, and the groups with their ids and numbers of values."""
-    gid = F.to_json(F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])) if group else F.lit("{}")
-    x = df.select(*group, finite(value).alias("_value")).where(F.col("_value").isNotNull())
-    groups = x.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else x.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
-    # Zero is written without a sign, so that the two zeros are one value.
-    return x.select(gid.alias("gid"), (F.col("_value") + F.lit(0.0)).alias("value")), groups.withColumn("_gid", gid)
-
-
 def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], **options: int) -> DataFrame:
     """``group, n, prob, percentile``: the percentiles of the finite values of each group, between neighbouring values by
     linear interpolation. They are exact: the rank error is 0 whatever the number of values and partitions.
@@ -203,28 +230,25 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence
     """
     if taken := {"n", "prob", "percentile"} & {c.lower() for c in group}:
         raise ValueError(f"reserved names: {sorted(taken)}")
-    values, groups = _grouped(df, group, value)
-    groups = materialize(groups, "groups")
-    asked = groups.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    chunks, groups = chunk_table(df, group, value)
     spot = (F.col("_n") - 1) * F.col("_p")
-    asked = asked.withColumn("_a", F.floor(spot)).withColumn("_b", F.ceil(spot)).withColumn("_f", spot - F.floor(spot))
-    wanted = asked.select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.explode(F.array("_a", "_b")).alias("rank"))
-    found = materialize(multi_select(values, wanted, **options), "found")
-    rows = found.count()
-    for side in "ab":
-        asked = asked.join(_sized(found.select(F.col("gid").alias("_gid"), F.col("rank").alias(f"_{side}"), F.col("value").alias(f"_v{side}")), rows), ["_gid", f"_{side}"])
-    return asked.select(*group, F.col("_n").alias("n"), F.col("_p").alias("prob"), (F.col("_va") + (F.col("_vb") - F.col("_va")) * F.col("_f")).alias("percentile"))
+    each = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    wanted = groups.select("_gid", "_n", each.alias("_p")).select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.explode(F.array(F.floor(spot), F.ceil(spot))).alias("rank"))
+    found = multi_select(chunks, wanted, **options)
+    table = found.groupBy(F.col("gid").alias("_gid")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_v"))
+    out = groups.join(table.hint("merge"), "_gid").withColumn("_p", each)
+    low, high = F.col("_v")[F.floor(spot)], F.col("_v")[F.ceil(spot)]
+    return out.select(*group, F.col("_n").alias("n"), F.col("_p").alias("prob"), (low + (high - low) * (spot - F.floor(spot))).alias("percentile"))
 
 
 def summarize(df: DataFrame, group: Sequence[str], value: str, steps: int = 64, **options: int) -> DataFrame:
     """``group, n, rank, value``: of each group the values at the ``steps + 1`` evenly spaced 0-based ranks from 0 to n - 1
     (all values if n is not larger), found by :func:`multi_select`. Neighbouring ranks are at most n / ``steps`` + 1 apart."""
-    values, groups = _grouped(df, group, value)
-    groups = materialize(groups, "groups")
+    chunks, groups = chunk_table(df, group, value)
     spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda j: F.round(j * (F.col("_n") - 1) / F.lit(steps)).cast("long")))
-    asked = groups.withColumn("_rank", F.explode(spots))
-    found = multi_select(values, asked.select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.col("_rank").alias("rank")), **options)
-    out = asked.join(found.select(F.col("gid").alias("_gid"), F.col("rank").alias("_rank"), F.col("value").alias("_value")).hint("merge"), ["_gid", "_rank"])
+    wanted = groups.select(F.col("_gid").alias("gid"), F.col("_n").alias("n"), F.explode(spots).alias("rank"))
+    found = multi_select(chunks, wanted, **options).withColumnsRenamed({"gid": "_gid", "rank": "_rank", "value": "_value"})
+    out = groups.join(found.hint("merge"), "_gid")
     return out.select(*group, F.col("_n").alias("n"), F.col("_rank").alias("rank"), F.col("_value").alias("value"))
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paneloom.llm import percentiles as module
 from paneloom.llm.percentiles import merge_summaries, percentiles, summarize
 from paneloom.llm.topn import top_n
 
@@ -95,11 +96,35 @@ def test_top_n_small_batches_smallest_and_edges(spark):
     assert top_n(nan, ["g"], "s", 1).count() == 2
 
 
-def test_many_ranks_are_joined_by_sorting(spark, skewed, monkeypatch):
-    from paneloom.llm import percentiles as module
-
+def test_one_value_left_a_rank_and_smaller_chunks(spark, skewed):
+    """Rounds down to the last value, the chunks rewritten after each."""
     pdf, df = skewed
-    monkeypatch.setattr(module, "BROADCAST_RANKS", 0)
-    got = percentiles(df, ["g"], "x", [0.5], finish=2000, compact_every=1).toPandas()
+    got = percentiles(df, ["g"], "x", [0.5], finish=1, compact_every=1).toPandas()
     want = pdf.groupby("g").x.median()
     assert len(got) == 5 and all(r.percentile == pytest.approx(want[r.g]) for r in got.itertuples())
+
+
+def test_values_are_moved_once_and_a_hot_group_has_many_places(spark, skewed, monkeypatch):
+    monkeypatch.setattr(module, "BUFFER", 1000)
+    pdf, df = skewed
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        chunks, groups = module.chunk_table(df, ["g"], "x")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    places = {r["gid"]: r["n"] for r in chunks.groupBy("gid").agg(F.countDistinct("slot").alias("n")).collect()}
+    assert places['{"g0":"hot"}'] > 8 and groups.agg(F.sum("_n")).first()[0] == len(pdf)
+    moved = chunks.join(chunks.sparkSession.createDataFrame([("x", 1)], "slot string, w int").hint("shuffle_hash"), "slot").select("gid", "chunk", "w")
+    moved.collect()
+    plan = moved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_group_columns_of_any_type_come_back(spark):
+    import datetime as dt
+
+    data = [(dt.date(2020, 1, 31), 'a "q" }|0', 1.5, dt.datetime(2020, 1, 1, 1, 2, 3, 456789), 2.0), (None, "", float("nan"), None, 4.0)]
+    df = spark.createDataFrame(data, "d date, s string, f double, t timestamp, x double")
+    got = {str(r["d"]): r for r in percentiles(df, ["d", "s", "f", "t"], "x", [0.5]).collect()}
+    assert (got["2020-01-31"]["s"], got["2020-01-31"]["f"], got["2020-01-31"]["t"], got["2020-01-31"]["percentile"]) == (*data[0][1:4], 2.0)
+    assert got["None"]["s"] == "" and got["None"]["f"] != got["None"]["f"] and got["None"]["t"] is None
