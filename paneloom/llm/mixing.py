@@ -82,11 +82,11 @@ def plan_mixture(histogram: dict[str, tuple[np.ndarray, np.ndarray]], targets: d
     for s, (share, most) in targets.items():
         lengths, counts = histogram.get(s, (np.empty(0, np.int64), np.empty(0, np.int64)))
         budget = int(share * total)
-        short = sizes[s] * most < share * total
-        repeats = most if short else min(most, budget // sizes[s]) if sizes[s] else 0
-        extra, tokens = (np.zeros_like(counts), 0) if short or repeats == most else fit_budget(lengths, counts, budget - repeats * sizes[s], seed)
+        repeats = min(most, budget // sizes[s]) if sizes[s] else 0
+        extra, tokens = fit_budget(lengths, counts, budget - repeats * sizes[s], seed) if repeats < most else (np.zeros_like(counts), 0)
         plan[s] = (int(repeats), extra)
-        report.append({"source": s, "target_share": float(share), "max_repeats": int(most), "source_tokens": sizes[s], "budget": budget, "tokens": repeats * sizes[s] + tokens, "limited": bool(short)})
+        tokens += repeats * sizes[s]
+        report.append({"source": s, "target_share": float(share), "max_repeats": int(most), "source_tokens": sizes[s], "budget": budget, "tokens": tokens, "limited": tokens == sizes[s] * most and tokens < share * total})
     mixed = sum(r["tokens"] for r in report)
     for r in report:
         r["actual_share"] = r["tokens"] / mixed if mixed else None
@@ -114,6 +114,18 @@ def shares(spark: SparkSession, report: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in report], REPORT)
 
 
+def measured(selected: DataFrame, report: list[dict]) -> DataFrame:
+    """The report of the mixture as it is: ``tokens`` and ``actual_share`` from the ``selected`` rows (of :func:`mixture`), not from the
+    plan. A source is ``limited`` if all it has, repeated as often as may be, is in the mixture and less than its target share
+    of the tokens of the listed sources."""
+    used = selected.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("_used"))
+    planned = shares(selected.sparkSession, report).drop("tokens", "limited", "actual_share")
+    every = Window.partitionBy()  # one row a source
+    out = planned.join(used, F.col("source") == F.col("_s"), "left").withColumn("tokens", F.coalesce("_used", F.lit(0)))
+    out = out.withColumn("limited", (F.col("tokens") == F.col("source_tokens") * F.col("max_repeats")) & (F.col("tokens") < F.col("target_share") * F.sum("source_tokens").over(every)))
+    return out.withColumn("actual_share", F.col("tokens") / F.nullif(F.sum("tokens").over(every), F.lit(0))).select(*[c.split()[0] for c in REPORT.split(", ")])
+
+
 def mixture(sizes: DataFrame, histogram: dict, plan: dict, doc_id: str = "doc_id", seed: int = 42, bucket_docs: int = 50_000) -> DataFrame:
     """``sizes`` rows of the listed sources with ``copies`` of at least 1: how often the document is in the mixture.
 
