@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ from pyspark.sql import types as T
 
 from paneloom.functions.columns import fresh
 from paneloom.llm.mixing import source_name
+from paneloom.session import discard, materialize
 
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n|<[^<>]{0,200}>")
-_WORD = re.compile(r"[^\W\d_]+")
+# Each branch starts with a fixed character, which lets the search skip to it.
+_BREAK = re.compile(r"\.\s+|!\s+|\?\s+|\n\s*\n|<[^<>]{0,200}>")
+_MARK = "\x00"
 SMOOTH = 0.05
 STRETCH = 15
 BLOCK = 2000
@@ -44,15 +47,48 @@ def subject_name(label: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-_]+", "_")
 
 
+class _Letters(dict):
+    """For ``str.translate``: whatever is no letter becomes a blank; looked up once per character and worker."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = code if c.isalnum() and not c.isdecimal() or c == _MARK else 32
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
+def words_and_breaks(text: str) -> list[str]:
+    """Lower-case words of the text in order, with a mark wherever a sentence ends."""
+    return _BREAK.sub(f" {_MARK} ", html.unescape(text).lower().replace(_MARK, " ")).translate(_LETTERS).split()
+
+
 def sentences(text: str) -> list[list[str]]:
     """Lower-case words of each sentence that has any; where a text has lost its full stops, of stretches of ``STRETCH`` words."""
-    out = []
-    for s in _BREAK.split(html.unescape(text).lower()):
-        words = _WORD.findall(s)
-        if len(words) > 3 * STRETCH:
-            out += [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)]
-        elif words:
-            out.append(words)
+    words = words_and_breaks(text)
+    owner = _sentence_of(np.array([w == _MARK for w in words], bool), np.zeros(len(words), np.int64))
+    out: list[list[str]] = [[] for _ in range(int(owner.max(initial=-1)) + 1)]
+    for w, i in zip(words, owner):
+        if i >= 0:
+            out[i].append(w)
+    return out
+
+
+def _sentence_of(is_break: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Number of the sentence of each word, -1 for a break: sentences end at breaks and documents, one of more than three stretches
+    is cut into stretches; only sentences with words are numbered."""
+    out = np.full(len(is_break), -1)
+    word = np.flatnonzero(~is_break)
+    if not len(word):
+        return out
+    at = np.cumsum(is_break)[word]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (document[word][1:] != document[word][:-1])])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(word)))
+    inside = np.arange(len(word)) - np.repeat(start, size)
+    new |= (np.repeat(size, size) > 3 * STRETCH) & (inside % STRETCH == 0)
+    out[word] = np.cumsum(new) - 1
     return out
 
 
@@ -60,40 +96,41 @@ def sentences(text: str) -> list[list[str]]:
 class Terms:
     """Words and word pairs with ids; pairs are kept as sorted numbers, so that looking them up is one binary search."""
 
-    words: dict[str, int]
+    words: dict[str, int]  # with the mark as -1
     pairs: np.ndarray
 
+    @property
+    def base(self) -> int:
+        return len(self.words)
+
     @property
     def size(self) -> int:
-        return len(self.words) + 1 + len(self.pairs)
+        return self.base + len(self.pairs)
 
     @classmethod
-    def learn(cls, documents: Sequence[list[list[str]]], max_words: int, max_pairs: int) -> Terms:
-        seen = Counter(w for d in documents for s in d for w in s)
+    def learn(cls, documents: Sequence[list[str]], max_words: int, max_pairs: int) -> Terms:
+        """Words and pairs that neither a break nor the end of a stretch keeps apart, most frequent first."""
+        seen = Counter(w for d in documents for w in d if w != _MARK)
         kept = sorted(((-n, w) for w, n in seen.items() if n >= 2))[:max_words]
-        words = {w: i + 1 for i, (_, w) in enumerate(kept)}
+        words = {_MARK: -1} | {w: i + 1 for i, (_, w) in enumerate(kept)}
         pairs: Counter[int] = Counter()
-        base = len(words) + 1
+        base = len(words)
         for d in documents:
-            for s in d:
-                ids = [words.get(w, 0) for w in s]
-                pairs.update(a * base + b for a, b in zip(ids, ids[1:]) if a and b)
+            ids = np.fromiter(map(words.get, d, repeat(0)), np.int64, len(d))
+            row = _sentence_of(ids < 0, np.zeros(len(ids), np.int64))
+            beside = (ids[:-1] > 0) & (ids[1:] > 0) & (row[:-1] == row[1:])
+            pairs.update((ids[:-1] * base + ids[1:])[beside].tolist())
         often = sorted((-n, p) for p, n in pairs.items() if n >= 3)[:max_pairs]
         return cls(words, np.array(sorted(p for _, p in often), np.int64))
 
-    def matrix(self, documents: Sequence[list[list[str]]]) -> Rows:
-        """All sentences as one ragged matrix of term ids."""
-        get, base = self.words.get, len(self.words) + 1
-        flat: list[int] = []
-        length: list[int] = []
-        per: list[int] = []
-        for d in documents:
-            per.append(len(d))
-            for s in d:
-                flat += [get(w, 0) for w in s]
-                length.append(len(s))
-        ids, n = np.array(flat, np.int64), np.array(length, np.int64)
-        row = np.repeat(np.arange(len(n)), n)
+    def matrix(self, documents: Sequence[list[str]]) -> Rows:
+        """All sentences of documents, given as :func:`words_and_breaks`, as one ragged matrix of term ids."""
+        base = self.base
+        ids = np.fromiter(map(self.words.get, chain.from_iterable(documents), repeat(0)), np.int64)
+        document = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        row = _sentence_of(ids < 0, document)
+        ids, document, row = ids[row >= 0], document[row >= 0], row[row >= 0]
+        n = np.bincount(row)
         term, at = ids[ids > 0], row[ids > 0]
         if len(self.pairs) and len(ids) > 1:
             together = (ids[:-1] > 0) & (ids[1:] > 0) & (row[:-1] == row[1:])
@@ -102,7 +139,8 @@ class Terms:
             hit = self.pairs[spot] == key
             term, at = np.concatenate([term, base + spot[hit]]), np.concatenate([at, row[:-1][together][hit]])
         order = np.argsort(at, kind="stable")
-        return Rows(term[order], np.searchsorted(at[order], np.arange(len(n) + 1)), np.repeat(np.arange(len(per)), per), len(per), n)
+        first = np.searchsorted(row, np.arange(len(n)))
+        return Rows(term[order], np.searchsorted(at[order], np.arange(len(n) + 1)), document[first], len(documents), n)
 
 
 @dataclass
@@ -120,12 +158,12 @@ class Rows:
     def scores(self, weight: np.ndarray) -> np.ndarray:
         """Sum of the terms' rows of ``weight`` for each sentence."""
         out = np.zeros((self.count, weight.shape[1]))
+        by_class = np.ascontiguousarray(weight.T)
         for a in range(0, self.count, BLOCK):  # in blocks, so that memory does not grow with the sample
             start = self.start[a : a + BLOCK + 1]
-            term = self.term[start[0] : start[-1]]
-            total = np.zeros((len(term) + 1, weight.shape[1]))
-            np.cumsum(weight[term], axis=0, out=total[1:])
-            out[a : a + BLOCK] = total[start[1:] - start[0]] - total[start[:-1] - start[0]]
+            term, row = self.term[start[0] : start[-1]], np.repeat(np.arange(len(start) - 1), np.diff(start))
+            for c, w in enumerate(by_class):
+                out[a : a + BLOCK, c] = np.bincount(row, w[term], minlength=len(start) - 1)
         return out
 
     def per_document(self, values: np.ndarray) -> np.ndarray:
@@ -258,16 +296,16 @@ class Model:
         return labels[np.arange(n), logp.argmax(1)]
 
     def assign(self, texts: Sequence[str], sources: Sequence[str | None]) -> np.ndarray:
-        rows = self.terms.matrix([sentences(t) for t in texts])
+        rows = self.terms.matrix([words_and_breaks(t) for t in texts])
         per, whole = document_features(rows, self.weight)
         return self.decode(self.score(per, whole), self.context(whole, sources))
 
 
 def train(texts: Sequence[str], sources: Sequence[str | None], labels: np.ndarray, subjects: list[str], max_words: int = 60_000, max_pairs: int = 120_000, ridge: float = 1.0) -> Model:
     """The model from labelled documents; ``labels`` is documents x subjects, the share of annotators who gave the subject."""
-    documents = [sentences(t) for t in texts]
+    documents = [words_and_breaks(t) for t in texts]
     terms = Terms.learn(documents, max_words, max_pairs)
-    known = sorted({s for s in sources if s})[:50]
+    known = sorted({s for s in sources if s})  # at most as many as there are documents in the sample
     order = [int(i) for i in np.argsort(-labels.sum(0), kind="stable")]
     model = Model(subjects, terms, fit_sentences(terms.matrix(documents), labels, terms.size), known, order)
     fold = np.arange(len(documents)) % 2
@@ -297,15 +335,25 @@ def train(texts: Sequence[str], sources: Sequence[str | None], labels: np.ndarra
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_documents: int = 4000, seed: int = 42):
-    """Texts, sources, label shares and subjects of at most ``max_documents`` labelled documents, those of smallest seeded hash.
-    The bound keeps training on the driver; every count and decision on the corpus itself covers all documents."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_documents: int = 4000, max_chars: int = 50_000_000, seed: int = 42):
+    """Texts, sources, label shares and subjects of at most ``max_documents`` labelled documents, those of smallest seeded hash, as
+    long as their whole texts have at most ``max_chars`` characters together. The bounds keep training on the driver; every count
+    and decision on the corpus itself covers all documents."""
     subjects = sorted(r[0] for r in areas.select(subject_name("subject")).distinct().collect() if r[0])
     given = labels.select("doc_id", subject_name("subject").alias("subject"), F.coalesce("annotator", F.lit("")).alias("annotator")).where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).distinct()
     by = given.groupBy("doc_id").agg(F.countDistinct("annotator").alias("people"), F.collect_list("subject").alias("given"))
     chosen = by.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_documents)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", source_name("source").alias("source"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").collect()
+    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
+    kept = materialize(texts.join(F.broadcast(chosen), "doc_id"), "sample")
+    held, inside = 0, []
+    for r in kept.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")).orderBy(*order).collect():
+        held += r["chars"]
+        if held > max_chars:
+            break
+        inside.append(r["doc_id"])
+    rows = kept.where(F.col("doc_id").isin(inside)).orderBy(*order, "text").collect()
+    discard(kept)
     y = np.zeros((len(rows), len(subjects)))
     for i, r in enumerate(rows):
         for s, n in Counter(r["given"]).items():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.llm.corpus import document_sizes
-from paneloom.llm.mixing import fit_budget, make_plan, mixture, plan_mixture, source_name
+from paneloom.llm.mixing import fit_budget, make_plan, measured, mixture, plan_mixture, source_name
 from paneloom.llm.packing import OpenBins, pack
 from paneloom.llm.subjects import assign_subjects, labelled_sample, sentences, train
 from paneloom.llm.tokens import count_tokens, encoding
@@ -139,6 +139,28 @@ def test_mixture_rows_match_the_plan(spark):
     assert sorted((x["doc_id"], x["_copies"]) for x in out) == sorted((x["doc_id"], x["_copies"]) for x in again)
 
 
+def test_measured_mixture(spark):
+    """Limited sources come from the selected rows: also one without documents, not one that misses its budget by a rest only."""
+    data = [(i, "a", 10) for i in range(10)] + [(100 + i, "b", 7) for i in range(40)] + [(200, "c", 5)]
+    sizes = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 5), ("b", 0.5, 1), ("c", 0.1, 3), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
+    histogram, plan, report = make_plan(sizes, targets)
+    out = {r["source"]: r for r in measured(mixture(sizes, histogram, plan), report).collect()}
+    assert {s for s, r in out.items() if r["limited"]} == {"c", "gone"}
+    assert (out["a"]["tokens"], out["b"]["tokens"], out["c"]["tokens"], out["gone"]["tokens"]) == (110, 189, 15, 0)
+    assert {r["source"]: r["tokens"] for r in report} == {s: r["tokens"] for s, r in out.items()}
+    assert sum(r["actual_share"] for r in out.values()) == pytest.approx(1)
+
+
+def test_vocabulary_file_is_bounded(tmp_path, monkeypatch):
+    from paneloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_BYTES", 10)
+    (tmp_path / "big").write_bytes(b"x" * 11)
+    with pytest.raises(ValueError):
+        tokens.encoding(str(tmp_path / "big"))
+
+
 def test_mixing_edges(spark):
     sizes = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 2)], "source string, target_share double, max_repeats int")
@@ -215,4 +237,14 @@ def test_held_out_labels_of_the_tables(spark, tiny):
     got, want = model.assign(texts[cut:], sources[cut:]), y[cut:] >= 0.5
     f1 = 2 * (got * want).sum() / (got.sum() + want.sum())
     assert f1 > 0.85
-    assert labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"), 10)[2].shape == (10, 12)
+    sample = lambda *bounds: labelled_sample(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"), *bounds)
+    assert sample(10)[2].shape == (10, 12)
+    few = sample(4000, 20_000)[0]
+    assert 1 < len(few) < len(texts) and sum(map(len, few)) <= 20_000 and few == texts[: len(few)]
+
+
+def test_sources_beyond_fifty_are_features_too():
+    texts, truth = corpus(6, 300)
+    sources = [f"s{i % 90:02d}" for i in range(300)]
+    model = train(texts, sources, truth, sorted(WORDS))
+    assert len(model.sources) == 90 and model.context(np.zeros((2, 4)), ["s89", None])[:, 4:].sum(1).tolist() == [1.0, 0.0]
\ No newline at end of file
