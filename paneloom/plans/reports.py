@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneloom.operators import cross, report, series, stats
-from paneloom.plans.base import CHARACTERISTICS, book, day, ds, market, panel, query, r, rs, with_
+from paneloom.plans.base import CHARACTERISTICS, book, day, ds, filings, market, panel, query, r, rs, with_
 from paneloom.plans.cross_section import rank_sql, scaled_sql
 
 SIDE = ("permno", "side")
@@ -31,30 +31,44 @@ def decile_long_short(spark: SparkSession, folder: str) -> DataFrame:
     return series.with_drawdown(means, "ls", []).select(day("eom").alias("eom"), *[r(c).alias(c) for c in ("top", "bottom", "ls", "wealth", "drawdown")])
 
 
-_LEDGER = ("long_ret", "short_ret", "ls_ret", "gross", "net", "beta_exante", "missing_ret_weight", "turnover", "cost", "total_ret", "active_ret")
+_LEDGER = ("long_ret", "short_ret", "ls_ret", "gross", "net", "beta_exante", "missing_ret_weight", "turnover", "cost", "total_ret", "bench_ret", "active_ret", "total_ret_net", "active_ret_net")
 
 
-@query(with_(f"SELECT {ds('month')} AS month, n_long, n_short, {', '.join(f'{rs(c)} AS {c}' for c in _LEDGER)} FROM ledger", "ledger"))
+@query(with_(f"SELECT {ds('month')} AS month, n_long, n_short, first_month, {', '.join(f'{rs(c)} AS {c}' for c in _LEDGER)} FROM ledger", "ledger"))
 def month_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger(spark, folder).select(day("month").alias("month"), "n_long", "n_short", *[r(c).alias(c) for c in _LEDGER])
+    return ledger(spark, folder).select(day("month").alias("month"), "n_long", "n_short", "first_month", *[r(c).alias(c) for c in _LEDGER])
 
 
-@query(with_(f"""d AS (SELECT *, total_ret - cost AS net_ret, active_ret - cost AS net_active FROM ledger)
-SELECT 'gross' AS kind, count(*) AS n, {rs('avg(total_ret)')} AS mean, {rs('product(1 + total_ret) - 1', 4)} AS cumulative, {rs('pow(product(1 + total_ret), 12.0 / count(*)) - 1', 5)} AS cagr, {rs(_SHARPE.format('(total_ret - rf_m)'), 5)} AS sharpe, {rs('max(total_ret)')} AS best, {rs('min(total_ret)')} AS worst, {rs(_SHARPE.format('active_ret'), 5)} AS information_ratio, {rs('avg(CASE WHEN active_ret > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, {rs('covar_pop(total_ret, sp500_ret) / nullif(stddev_pop(total_ret) * stddev_pop(sp500_ret), 0)')} AS correlation FROM d
-UNION ALL SELECT 'net', count(*), {rs('avg(net_ret)')}, {rs('product(1 + net_ret) - 1', 4)}, {rs('pow(product(1 + net_ret), 12.0 / count(*)) - 1', 5)}, {rs(_SHARPE.format('(net_ret - rf_m)'), 5)}, {rs('max(net_ret)')}, {rs('min(net_ret)')}, {rs(_SHARPE.format('net_active'), 5)}, {rs('avg(CASE WHEN net_active > 0 THEN 1.0 ELSE 0.0 END)')}, {rs('covar_pop(net_ret, sp500_ret) / nullif(stddev_pop(net_ret) * stddev_pop(sp500_ret), 0)')} FROM d""", "ledger"))
+_PERFORMANCE = """series AS ({s}),
+wealth AS (SELECT *, product(1 + x) OVER (PARTITION BY series ORDER BY month ROWS UNBOUNDED PRECEDING) AS w FROM series),
+down AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY series ORDER BY month ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM wealth)"""
+_SERIES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS series, '{basis}' AS cost_basis, {str(leg).lower()} AS leg, month, rf_m, sp500_ret, {x} AS x, CAST({a or 'NULL'} AS DOUBLE) AS a FROM ledger" for k, (x, a, basis, leg) in report.SERIES.items())
+
+
+def _whole(sql: str, digits: int = 6) -> str:
+    return f"CASE WHEN NOT leg THEN {rs(sql, digits)} END"
+
+
+@query(with_(_PERFORMANCE.format(s=_SERIES_SQL) + f""" SELECT series, cost_basis, count(*) AS n, {rs('avg(x)')} AS avg_monthly, {rs('avg(x) * 12')} AS ann_arith, {_whole('pow(product(1 + x), 12.0 / count(*)) - 1', 5)} AS cagr, {rs('product(1 + x) - 1', 4)} AS cumulative,
+  {_whole(_SHARPE.format('(x - rf_m)'), 5)} AS sharpe, {_whole('min(dd)')} AS max_dd, {_whole(_SHARPE.format('a'), 5)} AS ir, {_whole('avg(CASE WHEN a > 0 THEN 1.0 WHEN a IS NOT NULL THEN 0.0 END)')} AS hit_rate,
+  CASE WHEN NOT leg THEN strftime(arg_min(month, (-x, month)), '%Y-%m-%d') END AS best_month, {_whole('max(x)')} AS best_val, CASE WHEN NOT leg THEN strftime(arg_min(month, (x, month)), '%Y-%m-%d') END AS worst_month, {_whole('min(x)')} AS worst_val,
+  {_whole('covar_pop(x, sp500_ret) / nullif(stddev_pop(x) * stddev_pop(sp500_ret), 0)')} AS corr_sp500 FROM down GROUP BY series, cost_basis, leg""", "ledger"))
 def performance_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ledger(spark, folder)
-    kinds = F.array(F.struct(F.lit("gross").alias("kind"), F.col("total_ret").alias("x"), F.col("active_ret").alias("a")), F.struct(F.lit("net").alias("kind"), (F.col("total_ret") - F.col("cost")).alias("x"), (F.col("active_ret") - F.col("cost")).alias("a")))
-    long = rows.select("rf_m", "sp500_ret", F.explode(kinds).alias("k")).select("rf_m", "sp500_ret", "k.*")
-    out = long.groupBy("kind").agg(*report.performance("x", "a"), stats.safe_corr("x", "sp500_ret").alias("correlation"))
-    digits = {"cumulative": 4, "cagr": 5, "sharpe": 5, "information_ratio": 5}
-    return out.select("kind", "n", *[r(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("kind", "n")])
+    """Strategy before and after cost, benchmark, index and both legs."""
+    out = report.performance(ledger(spark, folder))
+    digits = {"cumulative": 4, "cagr": 5, "sharpe": 5, "ir": 5}
+    kept = {"series", "cost_basis", "n"}
+    return out.select(*[F.col(c) if c in kept else day(c).alias(c) if c.endswith("_month") else r(c, digits.get(c, 6)).alias(c) for c in out.columns])
 
 
-@query(with_(f"SELECT CAST(year(month) AS INTEGER) AS year, count(*) AS n, {rs('product(1 + total_ret) - 1', 5)} AS total_ret, {rs('product(1 + sp500_ret) - 1', 5)} AS index_ret, {rs('product(1 + total_ret) - product(1 + sp500_ret)', 5)} AS difference FROM ledger GROUP BY ALL", "ledger"))
+_GROWN = {"strategy_gross": "total_ret", "strategy_net": "total_ret_net", "benchmark": "bench_ret", "sp500": "sp500_ret"}
+
+
+@query(with_(f"SELECT CASE WHEN year(month) = 2026 THEN '2026 YTD (Jan–Aug)' ELSE CAST(year(month) AS VARCHAR) END AS year, count(*) AS n, {', '.join(f'{rs(f"product(1 + {c}) - 1", 5)} AS {k}' for k, c in _GROWN.items())} FROM ledger GROUP BY year(month)", "ledger"))
 def calendar_years(spark: SparkSession, folder: str) -> DataFrame:
-    grown = lambda c: F.product(F.col(c) + 1)
-    return ledger(spark, folder).groupBy(F.year("month").alias("year")).agg(F.count(F.lit(1)).alias("n"), r(grown("total_ret") - 1, 5).alias("total_ret"), r(grown("sp500_ret") - 1, 5).alias("index_ret"), r(grown("total_ret") - grown("sp500_ret"), 5).alias("difference"))
+    """Compounded returns by calendar year; the last year ends in August."""
+    label = F.when(F.year("month") == 2026, "2026 YTD (Jan–Aug)").otherwise(F.year("month").cast("string"))
+    return ledger(spark, folder).groupBy(label.alias("year")).agg(F.count(F.lit(1)).alias("n"), *[r(F.product(F.col(c) + 1) - 1, 5).alias(k) for k, c in _GROWN.items()])
 
 
 #: The named date ranges of the report.
@@ -92,25 +106,61 @@ def alpha_beta(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("kind", "n", *[r(c, _BETA_DIGITS.get(c, 6)).alias(c) for c in out.columns if c not in ("kind", "n")])
 
 
-@query(with_("src AS (SELECT CAST(year(month) AS INTEGER) AS year, month, total_ret - rf_m AS y, sp500_exret AS x FROM ledger), " + _NW.format(g="year,", gp="year", gg="year") + f" SELECT year, {_NW_OUT} FROM i WHERE n >= 3", "ledger"))
-def neutrality_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The regression by calendar year of at least three months."""
-    rows = ledger(spark, folder).select("month", F.year("month").alias("year"), (F.col("total_ret") - F.col("rf_m")).alias("y"), "sp500_exret")
-    out = stats.newey_west(rows, "sp500_exret", "y", "month", ["year"]).where("n >= 3")
-    return out.select("year", "n", *[r(c, _BETA_DIGITS.get(c, 6)).alias(c) for c in out.columns if c not in ("year", "n")])
+_BETAS = "src AS (SELECT kind, month, total_ret - rf_m AS y, sp500_exret AS x FROM (SELECT *, unnest(['beta_full_period', 'beta_' || year(month)]) AS kind FROM ledger)), " + _NW.format(g="kind,", gp="kind", gg="kind")
 
 
-@query(with_(f"""k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY abs(weight) DESC, permno, side) AS k FROM book),
-m AS (SELECT month, sum(abs(weight)) FILTER (k <= 10) / sum(abs(weight)) AS top10, sum(CASE WHEN size_grp IN ('micro', 'nano') THEN abs(weight) ELSE 0 END) / sum(abs(weight)) AS small_share FROM k GROUP BY month)
-SELECT {rs('avg(top10)')} AS top10, {rs('avg(small_share)')} AS small_share, {rs('avg(turnover) FILTER (month > (SELECT min(month) FROM ledger))')} AS turnover, {rs('avg(n_long)')} AS names_long, {rs('avg(abs(beta_exante))', 5)} AS beta_abs, count(*) AS months
-FROM m JOIN ledger USING (month)""", "ledger"))
+@query(with_(_BETAS + f""", hac AS (SELECT kind, n, beta, sqrt(i01 * i01 * uu + 2 * i01 * i11 * uv + i11 * i11 * vv) AS se FROM i)
+SELECT kind AS metric, {rs('beta', 5)} AS value, {rs('se', 5)} AS se, {rs('beta / nullif(se, 0)', 4)} AS t_stat, n AS n_obs FROM hac WHERE kind = 'beta_full_period' OR n >= 3
+UNION ALL SELECT unnest(['avg_ex_ante_beta', 'avg_net_exposure', 'min_net_exposure', 'max_net_exposure', 'corr_sp500']), unnest([{rs('avg(beta_exante)', 5)}, {rs('avg(net)', 5)}, {rs('min(net)', 5)}, {rs('max(net)', 5)}, {rs('covar_pop(total_ret, sp500_ret) / nullif(stddev_pop(total_ret) * stddev_pop(sp500_ret), 0)', 5)}]), NULL, NULL, count(*) FROM ledger""", "ledger"))
+def neutrality_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Market beta of the whole period and by year, and the exposures beside it."""
+    out = report.neutrality(ledger(spark, folder))
+    return out.select("metric", r("value", 5).alias("value"), r("se", 5).alias("se"), r("t_stat", 4).alias("t_stat"), "n_obs")
+
+
+@query(with_(f"""both_ AS (SELECT 'headline' AS run, l.* FROM ledger l UNION ALL SELECT 'sensitivity', l.* REPLACE (total_ret + x AS total_ret, active_ret + x AS active_ret, total_ret_net + x AS total_ret_net, active_ret_net + x AS active_ret_net)
+  FROM ledger l JOIN (SELECT month, sum(CASE WHEN ret IS NULL THEN -0.3 * abs(weight) ELSE 0 END) AS x FROM book GROUP BY month) USING (month)),
+src AS (SELECT run AS kind, month, total_ret - rf_m AS y, sp500_exret AS x FROM both_), {_NW.format(g="kind,", gp="kind", gg="kind")},
+hac AS (SELECT kind, alpha, beta, sqrt(i00 * i00 * uu + 2 * i00 * i01 * uv + i01 * i01 * vv) AS ase, sqrt(i01 * i01 * uu + 2 * i01 * i11 * uv + i11 * i11 * vv) AS bse FROM i),
+wealth AS (SELECT *, product(1 + total_ret) OVER (PARTITION BY run ORDER BY month ROWS UNBOUNDED PRECEDING) AS w FROM both_),
+down AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY run ORDER BY month ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM wealth),
+m AS (SELECT run, {_SHARPE.format('active_ret')} AS ir, {_SHARPE.format('(total_ret - rf_m)')} AS sharpe, pow(product(1 + total_ret), 12.0 / count(*)) - 1 AS cagr, min(dd) AS max_dd, {_SHARPE.format('active_ret_net')} AS ir_net, avg(turnover) FILTER (NOT first_month) AS avg_turnover, avg(n_long) AS avg_n_long, avg(n_short) AS avg_n_short, avg(active_ret) * 12 AS ann_active FROM down GROUP BY run)
+SELECT run, {rs('ir', 5)} AS ir, {rs('sharpe', 5)} AS sharpe, {rs('cagr', 5)} AS cagr, {rs('max_dd', 5)} AS max_dd, {rs('ir_net', 5)} AS ir_net, {rs('alpha * 12', 5)} AS alpha_ann, {rs('alpha / nullif(ase, 0)', 4)} AS alpha_t_nw, {rs('beta', 5)} AS beta, {rs('bse', 5)} AS beta_se_nw, {rs('beta / nullif(bse, 0)', 4)} AS beta_t_nw,
+  {rs('avg_turnover', 5)} AS avg_turnover, {rs('avg_n_long', 5)} AS avg_n_long, {rs('avg_n_short', 5)} AS avg_n_short, {rs('ann_active', 5)} AS ann_active FROM m JOIN hac ON run = kind""", "ledger"))
+def headline_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The headline figures, and the same with missing returns filled adversely."""
+    b = book(spark, folder)
+    filled = b.withColumn("ret", F.coalesce("ret", F.when(F.col("weight") > 0, -0.3).otherwise(0.3)))
+    runs = b.withColumn("run", F.lit("headline")).unionByName(filled.withColumn("run", F.lit("sensitivity")))
+    out = report.headline(report.ledger(runs, market(spark, folder), SIDE, ["run"]), ["run"])
+    return out.select("run", *[r(c, 4 if "_t_" in c else 5).alias(c) for c in out.columns if c != "run"])
+
+
+def _exposure_sql() -> str:
+    moved = "FILTER (NOT first_month)"
+    cells = {"avg_n_long": "avg(n_long)", "avg_n_short": "avg(n_short)", **{f"{c}_{k}": f"{k}({c})" for c in ("gross", "net", "filer_net") for k in ("avg", "min", "max")}, "top10_share_gross_avg": "avg(top10)", **{f"turnover_{k}": f"{k}(turnover) {moved}" for k in ("avg", "min", "max")}, "beta_exante_avg": "avg(beta_exante)", "missing_ret_weight_avg": "avg(missing_ret_weight)"}
+    sizes = {"avg_abs_weight": "avg(abs(weight))", "max_abs_weight": "max(abs(weight))"}
+    one = lambda cells, source: f"SELECT unnest([{', '.join(repr(k) for k in cells)}]) AS metric, unnest([{', '.join(rs(v, 5) for v in cells.values())}]) AS value FROM {source}"
+    return one(cells, "m JOIN ledger USING (month)") + " UNION ALL " + one(sizes, "book")
+
+
+@query(with_(f"""filed AS (SELECT DISTINCT permno, eom, 1 AS has_filing FROM filings),
+k AS (SELECT b.*, has_filing, row_number() OVER (PARTITION BY month ORDER BY abs(weight) DESC, b.permno, weight) AS k FROM book b LEFT JOIN filed f ON b.permno = f.permno AND b.eom = f.eom),
+m AS (SELECT month, sum(abs(weight)) FILTER (k <= 10) / sum(abs(weight)) AS top10, coalesce(sum(weight) FILTER (has_filing = 1), 0) AS filer_net FROM k GROUP BY month)
+{_exposure_sql()}""", "ledger", "filings"))
 def exposure_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean concentration, share of small names, turnover without the first month, names and ex-ante beta."""
-    b, w = book(spark, folder), F.abs("weight")
-    ranked = b.withColumn("k", F.row_number().over(Window.partitionBy("month").orderBy(F.desc(w), *SIDE)))
-    months = ranked.groupBy("month").agg((F.sum(F.when(F.col("k") <= 10, w)) / F.sum(w)).alias("top10"), (F.sum(F.when(F.col("size_grp").isin("micro", "nano"), w).otherwise(0.0)) / F.sum(w)).alias("small_share"))
-    rows = months.join(ledger(spark, folder), "month").withColumn("first", F.min("month").over(Window.partitionBy()))
-    return rows.agg(r(F.avg("top10")).alias("top10"), r(F.avg("small_share")).alias("small_share"), r(F.avg(F.when(F.col("month") > F.col("first"), F.col("turnover")))).alias("turnover"), r(F.avg("n_long")).alias("names_long"), r(F.avg(F.abs("beta_exante")), 5).alias("beta_abs"), F.count(F.lit(1)).alias("months"))
+    """Names, exposures, concentration and turnover of the book, one line each."""
+    filed = filings(spark, folder).select("permno", "eom").distinct().withColumn("has_filing", F.lit(1))
+    held = book(spark, folder).join(filed, ["permno", "eom"], "left")
+    return report.exposures(ledger(spark, folder), held).select("metric", r("value", 5).alias("value"))
+
+
+@query(with_(f"""c AS (SELECT permno, sum(weight) / (SELECT count(DISTINCT month) FROM book) AS w, arg_max(ticker, month) FILTER (trim(ticker) <> '') AS ticker FROM book GROUP BY permno)
+SELECT * FROM (SELECT permno, {rs('w', 8)} AS average_weight, ticker, 'long' AS side FROM c ORDER BY w DESC, permno LIMIT 10) UNION ALL SELECT * FROM (SELECT permno, {rs('w', 8)}, ticker, 'short' FROM c ORDER BY w, permno LIMIT 10)""", "book"))
+def top_holdings(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten largest mean weights of each side."""
+    rows = book(spark, folder).withColumn("weight", F.col("weight").cast("decimal(10,4)"))
+    return report.top_holdings(rows, labels=("ticker",)).select("permno", r(F.col("average_weight").cast("double"), 8).alias("average_weight"), "ticker", "side")
 
 
 @query(with_(f"""q AS (SELECT eom, quantile_cont(me, 0.4) AS cut FROM panel GROUP BY eom), b AS (SELECT b.*, cut FROM book b JOIN q USING (eom) WHERE side = -1)
@@ -139,27 +189,39 @@ def top_bottom_contributors(spark: SparkSession, folder: str) -> DataFrame:
     return c.orderBy(F.desc("contribution"), "permno").limit(10).withColumn("kind", F.lit("top")).unionByName(c.orderBy("contribution", "permno").limit(10).withColumn("kind", F.lit("bottom")))
 
 
-@query(with_(f"""s AS (SELECT month, sum(CASE WHEN weight > 0 THEN weight * coalesce(ret, -0.3) END) AS long_ret, sum(CASE WHEN weight < 0 THEN weight * coalesce(ret, 0.3) END) AS short_ret FROM book GROUP BY month)
-SELECT {ds('month')} AS month, {rs('long_ret')} AS long_ret, {rs('short_ret')} AS short_ret, {rs('rf_m + long_ret + short_ret')} AS total_ret FROM s JOIN (SELECT CAST(eom AS DATE) AS month, rf_m FROM market_monthly) USING (month)""", "book"))
+_REPRICED = ("long_ret", "short_ret", "ls_ret", "total_ret", "active_ret", "total_ret_net", "active_ret_net")
+
+
+@query(with_(f"""s AS (SELECT month, coalesce(sum(weight * -0.3) FILTER (weight > 0 AND ret IS NULL), 0) AS l, coalesce(sum(weight * 0.3) FILTER (weight < 0 AND ret IS NULL), 0) AS s FROM book GROUP BY month),
+a AS (SELECT month, long_ret + l AS long_ret, short_ret + s AS short_ret, ls_ret + l + s AS ls_ret, total_ret + l + s AS total_ret, active_ret + l + s AS active_ret, total_ret_net + l + s AS total_ret_net, active_ret_net + l + s AS active_ret_net FROM ledger JOIN s USING (month))
+SELECT {ds('month')} AS month, {', '.join(f'{rs(c)} AS {c}' for c in _REPRICED)} FROM a""", "ledger"))
 def missing_return_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger with missing returns filled adversely: -30 % for longs, +30 % for shorts."""
     filled = book(spark, folder).withColumn("ret", F.coalesce("ret", F.when(F.col("weight") > 0, -0.3).otherwise(0.3)))
     rows = report.ledger(filled, market(spark, folder), keys=SIDE)
-    return rows.select(day("month").alias("month"), *[r(c).alias(c) for c in ("long_ret", "short_ret", "total_ret")])
+    return rows.select(day("month").alias("month"), *[r(c).alias(c) for c in _REPRICED])
+
+
+#: A bound that the largest weights of many months reach, so that rounding has to pass them by.
+ROUND_CAP = 0.115
 
 
 def _submitted(spark: SparkSession, folder: str) -> DataFrame:
     b = book(spark, folder).where("me is not null").withColumn("raw", F.col("side") * F.log1p("me"))
     leg = Window.partitionBy("month", "side")
-    return report.round_legs(b.withColumn("weight", F.col("raw") / F.sum(F.abs("raw")).over(leg)))
+    return report.round_legs(b.withColumn("weight", F.round(F.col("raw") / F.sum(F.abs("raw")).over(leg), 10)), cap=ROUND_CAP)
 
 
-@query(with_(f"SELECT {ds('month')} AS month, CAST(side AS INTEGER) AS side, count(*) AS n, CAST(side AS DOUBLE) AS total, true AS within FROM book GROUP BY ALL", "book"))
+@query(with_(f"""x AS (SELECT *, round(side * ln(1 + me) / sum(ln(1 + me)) OVER (PARTITION BY month, side), 10) AS w FROM book WHERE me IS NOT NULL),
+t AS (SELECT *, round(w, 6) AS v, side + sum(w) OVER (PARTITION BY month) / 2 AS target FROM x),
+f AS (SELECT *, round(target - sum(v) OVER (PARTITION BY month, side), 6) AS rest FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY month, side ORDER BY CASE WHEN abs(v + rest) <= {ROUND_CAP} + 1e-9 THEN 0 ELSE 1 END, abs(v) DESC, permno) AS k FROM f),
+u AS (SELECT *, CASE WHEN k = 1 AND abs(v + rest) <= {ROUND_CAP} + 1e-9 THEN v + rest ELSE v END AS rounded FROM o)
+SELECT {ds('month')} AS month, permno, CAST(side AS INTEGER) AS side, round(rounded, 6) AS rounded, round(sum(rounded) OVER (PARTITION BY month, side), 6) AS leg_total FROM u""", "book"))
 def rounded_weights(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights rounded to six digits whose legs still sum to exactly 1 and -1, none moved by more than a few units."""
+    """Weights rounded to six digits whose legs still sum to their targets, none moved beyond the bound by it."""
     rows = _submitted(spark, folder)
-    off = F.max(F.abs(F.col("rounded") - F.col("weight")))
-    return rows.groupBy(day("month").alias("month"), F.col("side").cast("int").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rounded"), 6).alias("total"), (off <= 2.5e-6).alias("within"))
+    return rows.select(day("month").alias("month"), "permno", F.col("side").cast("int").alias("side"), "rounded", F.round(F.sum("rounded").over(Window.partitionBy("month", "side")), 6).alias("leg_total"))
 
 
 @query(with_(f"""x AS (SELECT permno, eom, ret_exc_lead1m AS y, {', '.join(CHARACTERISTICS)} FROM panel),
