@@ -16,11 +16,13 @@ def by(*group: str) -> WindowSpec:
 
 
 def average_rank(value: str, group: Sequence[str]) -> Column:
-    """Rank from 1 among the non-null values of the group; equal values share the mean of their places."""
-    known = F.col(value).isNotNull()
-    w = Window.partitionBy(*group, known)
-    ties = Window.partitionBy(*group, value)
-    return F.when(known, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
+    """Rank from 1 among the non-null values of the group; equal values share the mean of their places: of the first, counted from
+    below, and of the last, counted from above. One partitioning for both; a task holds a group, so for groups beyond a task use
+    :func:`with_average_rank`."""
+    w = by(*group)
+    first = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
+    last = F.count(value).over(w) + 1 - F.rank().over(w.orderBy(F.col(value).desc_nulls_last()))
+    return F.when(F.col(value).isNotNull(), (first + last) / F.lit(2.0))
 
 
 def with_average_rank(df: DataFrame, value: str, group: Sequence[str], rank: str = "rank", count: str = "known") -> DataFrame:

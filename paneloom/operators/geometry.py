@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paneloom.functions.columns import fresh
+
+#: Largest number of centroid components that goes to the workers (a table of that many doubles takes 64 MB).
+MOST_COMPONENTS = 8_000_000
+#: Later vectors of an entity's window that one task takes, rows up to which the list of larger windows is broadcast, and vectors that
+#: are multiplied at a time.
+NOVELTY_ROWS, BROADCAST_ROWS, BLOCK = 20_000, 100_000, 512
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """An Arrow list column without nulls as rows of ``size`` doubles."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(-1, size)
 
 
 def is_finite(vector: str) -> Column:
@@ -25,11 +41,31 @@ def unit(vector: Column | str) -> Column:
 
 
 def nearest_centroid(df: DataFrame, vector: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
-    """``df`` with ``cluster`` and ``distance`` of the nearest of a few fixed ``centroids`` (ties: the first), in one projection."""
-    v = F.col(vector)
-    far = [F.sqrt(F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)) for c in centroids]
-    best = F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).alias("cluster")) for i, d in enumerate(far)]))
-    return df.withColumn("_best", best).select(*df.columns, F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance"))
+    """``df`` with ``cluster`` and ``distance`` of the nearest of ``centroids`` (ties: the first), by an Arrow map over batches; a null
+    vector has neither. The centroids, at most ``MOST_COMPONENTS`` numbers, go to the workers once. A made column whose name is taken
+    gets a leading underscore."""
+    c = np.array(centroids, float)
+    if c.size > MOST_COMPONENTS:
+        raise ValueError(f"{c.size} centroid components are too many to send")
+    names = fresh(df, "cluster", "distance")
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.DoubleType())])
+    at, shared = df.columns.index(vector), df.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for b in batches:
+            known = b.column(at).is_valid().to_numpy(zero_copy_only=False)
+            x = _matrix(b.column(at).drop_null(), c.shape[1])
+            cluster, distance = np.zeros(len(known), np.int32), np.zeros(len(known))
+            best, near = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+            for i, centroid in enumerate(c):  # exact differences, not expanded squares
+                d = np.sqrt(((x - centroid) ** 2).sum(1))
+                closer = d < near
+                best[closer], near[closer] = i, d[closer]
+            cluster[known], distance[known] = best, near
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cluster, mask=~known), pa.array(distance, mask=~known)], names=[f.name for f in schema])
+
+    return df.mapInArrow(run, schema)
 
 
 def cluster_spread(df: DataFrame, cluster: str, distance: str) -> DataFrame:
@@ -41,22 +77,26 @@ def cluster_spread(df: DataFrame, cluster: str, distance: str) -> DataFrame:
 
 
 def fit_whitening(df: DataFrame, vector: str, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection of a PCA whitening, from first and second moments: one pass, a matrix of dimension squared."""
+    """Mean and projection of a PCA whitening, from first and second moments: one pass. Each map task sends its sums row by row of the
+    matrix and the cluster adds them up, so what comes to the driver is one matrix of dimension squared, whatever the number of
+    partitions."""
     size = df.select(F.size(vector).alias("n")).where("n > 0").first()["n"]
 
-    def moments(batches):
-        import pyarrow as pa
-
-        n, s, ss = 0, np.zeros(size), np.zeros((size, size))
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size + 1, size + 1))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float).reshape(-1, size)
-            n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
-
-    parts = df.where(is_finite(vector)).select(vector).mapInArrow(moments, "n long, s array<double>, ss array<double>").collect()  # one row per partition
-    n = sum(p["n"] for p in parts)
-    mean = sum(np.array(p["s"]) for p in parts) / n
-    cov = (sum(np.array(p["ss"]) for p in parts).reshape(size, size) - n * np.outer(mean, mean)) / max(n - 1, 1)
+            x = np.concatenate([np.ones((b.num_rows, 1)), _matrix(b.column(0), size)], 1)
+            total += x.T @ x
+        if total[0, 0]:
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(size + 2) * (size + 1), pa.int32()), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), cells], names=["row", "cells"])
+
+    parts = df.where(is_finite(vector)).select(vector).mapInArrow(moments, "row int, cells array<double>")
+    summed = parts.select("row", F.posexplode("cells").alias("at", "v")).groupBy("row", "at").agg(F.sum("v").alias("v"))
+    lines = summed.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("cells")).orderBy("row").collect()
+    total = np.array([r["cells"] for r in lines])
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    cov = (total[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
     value, axis = np.linalg.eigh(cov)
     top = np.argsort(-value)[:dimensions]
     axis = axis[:, top] * np.sign(axis[np.abs(axis[:, top]).argmax(0), top])  # signs fixed by the largest component
@@ -65,18 +105,15 @@ def fit_whitening(df: DataFrame, vector: str, dimensions: int) -> tuple[np.ndarr
 
 def whiten(df: DataFrame, vector: str, mean: np.ndarray, projection: np.ndarray, into: str) -> DataFrame:
     """Centred, projected and scaled to length 1, as an Arrow map over batches."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
     at = df.columns.index(vector)
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = (np.array(b.column(at).to_pylist(), float).reshape(-1, len(mean)) - mean) @ projection
+            x = (_matrix(b.column(at), len(mean)) - mean) @ projection
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x.tolist(), pa.list_(pa.float64()))], names=[f.name for f in schema])
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * projection.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
@@ -95,12 +132,51 @@ def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, tries: int = 4) -
 
 def novelty(df: DataFrame, entity: str, day: str, vector: str, key: str, months: int = 24) -> DataFrame:
     """``key, novelty``: 1 - the largest cosine with an earlier vector of the entity within the last ``months`` calendar months
-    (bound included); null without one. Vectors need length 1. The range condition is made an equi-join on entity and
-    window number: each vector meets only those of its own window of ``months`` months and of the one before, so a hot entity is spread over its windows."""
-    number = lambda d: F.floor((F.year(d) * 12 + F.month(d)) / months)
+    (bound included); null without one, and for a null entity, day or vector. Vectors need length 1; ``key`` tells them apart.
+
+    The range condition becomes a grouping by entity and window number: each vector meets only those of its own window of
+    ``months`` months and of the one before. The later side of a window is cut into parts of some ``NOVELTY_ROWS`` vectors, and the
+    earlier one is sent to each of them; a task holds one window of one entity as a matrix, multiplies it block by block and keeps
+    the largest product per vector, so no pair is ever a row."""
+    number = lambda d: F.floor((F.year(d) * 12 + F.month(d)) / months).cast("int")
     rows = df.select(F.col(key).alias("k"), F.col(entity).alias("e"), F.col(day).alias("d"), F.col(vector).alias("v"))
-    late = rows.select("k", "e", "d", "v", F.explode(F.array(number("d"), number("d") - 1)).alias("w"))
-    early = rows.select(F.col("e").alias("e0"), F.col("d").alias("d0"), F.col("v").alias("v0"), number("d").alias("w0"))
-    met = late.join(early, (F.col("e") == F.col("e0")) & (F.col("w") == F.col("w0")) & (F.col("d0") < F.col("d")) & (F.col("d0") >= F.add_months("d", -months)))
-    best = met.groupBy("k").agg((1 - F.max(dot("v", "v0"))).alias("novelty"))
-    return rows.select(F.col("k").alias(key)).join(best.withColumnRenamed("k", key), key, "left")
+    rows = rows.where(F.col("e").isNotNull() & F.col("d").isNotNull() & F.col("v").isNotNull())
+    since = F.unix_date(F.add_months("d", -months))
+    late = rows.select("e", F.explode(F.array(number("d"), number("d") - 1)).alias("w"), "k", F.unix_date("d").alias("d"), since.alias("since"), "v")
+    early = rows.select(F.col("e").alias("e0"), number("d").alias("w0"), F.unix_date("d").alias("d0"), F.col("v").alias("v0"))
+    large = late.groupBy("e", "w").agg(F.ceil(F.count(F.lit(1)) / NOVELTY_ROWS).cast("int").alias("parts")).where("parts > 1")
+    known = large.limit(BROADCAST_ROWS + 1).collect()
+    if known:
+        side = F.broadcast(df.sparkSession.createDataFrame(known, large.schema)) if len(known) <= BROADCAST_ROWS else large
+        parts = F.coalesce("parts", F.lit(1))
+        late = late.join(side, ["e", "w"], "left").withColumn("p", F.pmod(F.xxhash64("k"), parts).cast("int")).drop("parts")
+        early = early.join(side.withColumnsRenamed({"e": "e0", "w": "w0"}), ["e0", "w0"], "left").withColumn("p0", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    else:
+        late, early = late.withColumn("p", F.lit(0)), early.withColumn("p0", F.lit(0))
+    kind = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"k": left["k"].slice(0, 0), "cosine": pa.array([], pa.float64())})
+        days, known = right["d0"].to_numpy(), right["v0"].combine_chunks()
+        size = len(known[0])
+        b = _matrix(known, size)
+        order = np.argsort(days, kind="stable")
+        days, b = days[order], b[order]
+        a, d, first = left["v"].combine_chunks(), left["d"].to_numpy(), left["since"].to_numpy()
+        best = np.full(len(d), np.nan)
+        for start in range(0, len(d), BLOCK):
+            now = slice(start, start + BLOCK)
+            lo, hi = np.searchsorted(days, first[now]), np.searchsorted(days, d[now])  # days from "since" on, before the vector's own
+            if lo.min() >= hi.max():
+                continue
+            cosine = _matrix(a.slice(start, BLOCK), size) @ b[lo.min() : hi.max()].T
+            place = np.arange(lo.min(), hi.max())[None, :]
+            cosine[(place < lo[:, None]) | (place >= hi[:, None])] = -np.inf
+            best[now] = np.where(hi > lo, cosine.max(1), np.nan)
+        found = ~np.isnan(best)
+        return pa.table({"k": left["k"].filter(pa.array(found)), "cosine": pa.array(best[found])})
+
+    met = late.groupBy("e", "w", "p").cogroup(early.groupBy("e0", "w0", "p0")).applyInArrow(meet, kind)
+    best = met.groupBy("k").agg((1 - F.max("cosine")).alias("novelty"))
+    return df.select(key).join(best.withColumnRenamed("k", key), key, "left")

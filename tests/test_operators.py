@@ -172,6 +172,39 @@ def test_novelty_by_hand(spark):
     assert out == {"A": None, "B": pytest.approx(1.0), "D": pytest.approx(0.2), "C": pytest.approx(0.4), "E": None}
 
 
+def test_novelty_of_a_hot_entity(spark, monkeypatch):
+    """Most vectors belong to one entity and one window: its later side is in many tasks, and all of them see its whole earlier side."""
+    monkeypatch.setattr(geometry, "NOVELTY_ROWS", 100)
+    rng = np.random.default_rng(9)
+    n = 1500
+    v = rng.normal(size=(n, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    entity = np.where(rng.random(n) < 0.8, 1, rng.integers(2, 6, n))
+    day = [dt.date(2019, 6, 1) + dt.timedelta(days=int(x)) for x in rng.integers(0, 900, n)]
+    df = spark.createDataFrame([(i, int(e), d, x.tolist()) for i, (e, d, x) in enumerate(zip(entity, day, v))] + [(9001, None, dt.date(2020, 1, 1), v[0].tolist()), (9002, 1, None, None)], "k long, e int, d date, v array<double>")
+    got = {r["k"]: r["novelty"] for r in geometry.novelty(df, "e", "d", "v", "k", 12).collect()}
+    assert len(got) == n + 2 and got[9001] is None and got[9002] is None
+    for i in range(0, n, 7):
+        y, m = divmod(day[i].year * 12 + day[i].month - 1 - 12, 12)
+        since = dt.date(y, m + 1, min(day[i].day, 28 if m == 1 else 31))
+        past = [v[i] @ v[j] for j in range(n) if entity[j] == entity[i] and since <= day[j] < day[i]]
+        assert got[i] == (pytest.approx(1 - max(past)) if past else None)
+    assert geometry.novelty(df.limit(0), "e", "d", "v", "k").count() == 0
+
+
+def test_average_rank_uses_one_partitioning(spark):
+    df = spark.createDataFrame([("a", 1.0)], "g string, x double").repartition(3).withColumn("r", cross.average_rank("x", ["g"]))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_nearest_centroid_edges(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], 7), (2, None, 7), (3, [2.0, 0.0], 7)], "i int, v array<double>, cluster int")
+    out = geometry.nearest_centroid(df, "v", [[1.0, 0.0], [1.0, 0.0], [3.0, 0.0]])
+    assert out.columns == ["i", "v", "cluster", "_cluster", "distance"]
+    assert [(r["i"], r["_cluster"], r["distance"]) for r in out.orderBy("i").collect()] == [(1, 0, 1.0), (2, None, None), (3, 0, 1.0)]
+    assert geometry.nearest_centroid(df.limit(0), "v", [[1.0, 0.0]]).count() == 0
+
+
 def test_whitening(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
