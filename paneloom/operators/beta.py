@@ -143,6 +143,24 @@ def kalman(df: DataFrame, c: Calibration, entity: str = "permno", time: str = "e
     return rows.groupBy(entity).applyInPandas(run, schema)
 
 
+#: Models by name, and whether they need a calibration.
+MODELS = {"blume": False, "a15": False, "fusion": True, "kalman": True}
+
+
+def estimate(df: DataFrame, model: str, calibration: Calibration | None = None, first: str = "betabab_1260d", second: str = "beta_60m", volatility: str = "ivol_capm_252d", entity: str = "permno", time: str = "eom") -> DataFrame:
+    """``entity, time, beta, beta_var`` by the model of a name: the shrunk estimate ("blume"), the chain of two estimators on a line
+    ("a15"), both with a variance of 0, the precision-weighted "fusion" and the "kalman" filter, which need a ``calibration``."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}: one of {', '.join(MODELS)}")
+    if MODELS[model] and calibration is None:
+        raise ValueError(f"{model} needs a calibration")
+    if model == "kalman":
+        return kalman(df, calibration, entity, time)
+    certain = F.lit(0.0)
+    value, variance = {"blume": lambda: (shrunk(second), certain), "a15": lambda: (chained(first, second, volatility, [time]), certain), "fusion": lambda: fuse(calibration)}[model]()
+    return df.select(entity, time, value.alias("beta"), variance.alias("beta_var"))
+
+
 def accuracy(df: DataFrame, models: Sequence[str], target: str) -> DataFrame:
     """``model, n, r2, bias`` of estimates against the target, by model."""
     long = df.where(F.col(target).isNotNull()).unpivot([target], list(models), "model", "estimate").where("estimate is not null")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.operators.cross import demean, winsorize
+from paneloom.operators.cross import demean, winsorize, zscore
 
 
 def split_rows(df: DataFrame, test_years: Iterable[int], label: str, last: str, month: str = "target_month") -> DataFrame:
@@ -40,6 +40,10 @@ class Gram:
     def __add__(self, other: Gram) -> Gram:
         return Gram(self.n + other.n, self.sx + other.sx, self.sy + other.sy, self.xx + other.xx, self.xy + other.xy, self.yy + other.yy)
 
+    def mapped(self, t: np.ndarray) -> Gram:
+        """The sums of the design whose features are ``t`` times these."""
+        return Gram(self.n, t @ self.sx, self.sy, t @ self.xx @ t.T, t @ self.xy, self.yy)
+
     def centred(self) -> tuple[np.ndarray, np.ndarray]:
         mx, my = self.sx / self.n, self.sy / self.n
         return self.xx - self.n * np.outer(mx, mx), self.xy - self.n * mx * my
@@ -147,12 +151,38 @@ def blend(columns: Sequence[str]) -> Column:
     return total_ / len(columns)
 
 
+def blends(df: DataFrame, specialists: Sequence[str], text: Sequence[str], forecasts: Sequence[str], trees: str, month: str = "eom") -> DataFrame:
+    """``df`` with the four equal-weight blends: ``pred_ew``, the mean of the specialists' z-scores within the month; ``pred_ew_notext``, that
+    without the text specialists; ``pred_ew_ret``, the mean of the raw forecasts, unknown ones as 0; ``pred_blend``, the mean of the
+    z-scores of ``pred_ew`` and of the tree model ``trees``. Unknown z-scores count as 0."""
+    z = [f"z_{c}" for c in specialists]
+    out = df.withColumns({f"z_{c}": zscore(c, [month]) for c in specialists})
+    out = out.withColumns({"pred_ew": blend(z), "pred_ew_notext": blend([f"z_{c}" for c in specialists if c not in text])})
+    total_ = F.lit(0.0)
+    for c in forecasts:
+        total_ = total_ + F.coalesce(F.col(c), F.lit(0.0))
+    out = out.withColumn("pred_ew_ret", total_ / len(forecasts))
+    return out.withColumn("pred_blend", (zscore("pred_ew", [month]) + zscore(trees, [month])) / 2).drop(*z)
+
+
 def gate_design(signals: Sequence[str], states: Sequence[str]) -> dict[str, Column]:
     """Signals and their products with standardised states."""
     out = {s: F.col(s) for s in signals}
     return out | {f"{s}_x_{m}": F.col(s) * F.col(m) for s in signals for m in states}
 
 
+def standardised(signals: int, means: Sequence[float], deviations: Sequence[float]) -> np.ndarray:
+    """What turns the sums of :func:`gate_design` with raw states into those with states less their means over their deviations (0 as
+    1): a gate for other months needs no further pass over the rows."""
+    k, j = signals, len(means)
+    t = np.eye(k * (1 + j))
+    for s in range(k):
+        for m in range(j):
+            row, sd = k + s * j + m, deviations[m] or 1.0
+            t[row, row], t[row, s] = 1 / sd, -means[m] / sd
+    return t
+
+
 def fit_gate(grams: dict, alphas: Sequence[float] | None = None, folds: int = 6) -> tuple[np.ndarray, float]:
     """Ridge without a constant, its penalty chosen by folds of whole months; every fold is a difference of month sums."""
     months = sorted(grams)

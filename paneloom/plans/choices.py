@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paneloom.operators import choice, cross, geometry, series, stats
-from paneloom.plans.base import CHARACTERISTICS, day, ds, filings, panel, query, r, rs, scores, with_
+from paneloom.operators import choice, cross, geometry, report, series, stats
+from paneloom.operators.scoring import score_texts
+from paneloom.plans.base import CHARACTERISTICS, day, ds, filings, market, panel, query, r, rs, scores, with_
 from paneloom.plans.cross_section import rank_sql
 from paneloom.plans.estimates import _VECTORS, vectors
 from paneloom.sources import table
@@ -48,18 +49,28 @@ def feature_top_up(spark: SparkSession, folder: str) -> DataFrame:
     return choice.top_up(t, "size_grp", "t", 3).select("size_grp", "feature", r("t", 4).alias("t"), "selected")
 
 
-@query(with_(f"""{_LONG},
-b AS (SELECT feature, eom, y, CAST(floor(({rank_sql('f', 'feature, eom')}) * 5 / (count(f) OVER (PARTITION BY feature, eom) + 1)) AS INTEGER) AS q FROM l),
-s AS (SELECT feature, eom, avg(y) FILTER (q = 4) - avg(y) FILTER (q = 0) AS ls FROM b GROUP BY ALL)
-SELECT feature, count(ls) AS months, {rs('avg(ls)')} AS mean, {rs('CASE WHEN stddev_samp(ls) >= 1e-8 THEN avg(ls) / nullif(stddev_samp(ls), 0) * sqrt(12) END', 5)} AS ratio, {rs('avg(CASE WHEN ls > 0 THEN 1.0 WHEN ls IS NOT NULL THEN 0.0 END)')} AS hit_rate FROM s GROUP BY feature""", "panel"))
+_LEGS = "lb AS (SELECT feature, eom, permno, y AS ret, row_number() OVER (PARTITION BY feature, eom ORDER BY f DESC, permno) AS up, row_number() OVER (PARTITION BY feature, eom ORDER BY f, permno) AS down FROM l)"
+
+
+@query(with_(f"""{_LONG}, {_LEGS},
+b AS (SELECT feature, last_day(eom + INTERVAL 1 DAY) AS month, permno, 1 AS side, 0.1 AS weight, ret FROM lb WHERE up <= 10 UNION ALL SELECT feature, last_day(eom + INTERVAL 1 DAY), permno, -1, -0.1, ret FROM lb WHERE down <= 10),
+ch AS (SELECT coalesce(a.feature, o.feature) AS feature, coalesce(a.month, last_day(o.month + INTERVAL 1 DAY)) AS month, sum(abs(coalesce(a.weight, 0) - coalesce(o.weight, 0))) AS moved
+  FROM b a FULL JOIN b o ON a.feature = o.feature AND a.permno = o.permno AND a.side = o.side AND a.month = last_day(o.month + INTERVAL 1 DAY) GROUP BY 1, 2),
+t AS (SELECT feature, month, sum(weight * coalesce(ret, 0)) AS ls, sum(weight) AS net FROM b GROUP BY ALL),
+r AS (SELECT feature, month, rf_m, sp500_exret, rf_m + ls + coalesce(net * (rf_pipe - rf_m), 0) AS total, ls + coalesce(net * (rf_pipe - rf_m), 0) - 0.04 / 12 AS active, moved / 4 AS turnover, month = min(month) OVER (PARTITION BY feature) AS first_month
+  FROM t JOIN ch USING (feature, month) JOIN (SELECT CAST(eom AS DATE) AS month, rf_m, rf_pipe, sp500_exret FROM market_monthly) USING (month)),
+w AS (SELECT *, product(1 + total) OVER (PARTITION BY feature ORDER BY month ROWS UNBOUNDED PRECEDING) AS w FROM r),
+d AS (SELECT *, w / greatest(1, max(w) OVER (PARTITION BY feature ORDER BY month ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM w)
+SELECT feature, {rs('CASE WHEN stddev_samp(active) >= 1e-8 THEN avg(active) / nullif(stddev_samp(active), 0) * sqrt(12) END', 5)} AS ir, {rs('CASE WHEN stddev_samp(total - rf_m) >= 1e-8 THEN avg(total - rf_m) / nullif(stddev_samp(total - rf_m), 0) * sqrt(12) END', 5)} AS sharpe, {rs('avg(active) * 12', 5)} AS ann_active,
+  {rs('regr_slope(total - rf_m, sp500_exret)', 5)} AS beta, {rs('avg(turnover) FILTER (NOT first_month)', 5)} AS turnover, {rs('min(dd)', 5)} AS max_dd FROM d GROUP BY feature""", "panel"))
 def ablation_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Long/short returns of quintiles of each signal: mean, annualised ratio, hit rate; all signals in one plan."""
+    """A book for each signal, the ten names of its largest and of its smallest values, accounted month by month; all signals in one plan."""
     rows = panel(spark, folder, "ret_exc_lead1m", *CHARACTERISTICS)
-    long = cross.unpivot(rows, ["permno", "eom", "ret_exc_lead1m"], CHARACTERISTICS).where("value is not null")
-    long = long.withColumn("q", cross.bucket("value", ["feature", "eom"], 5))
-    leg = lambda q: F.avg(F.when(F.col("q") == q, F.col("ret_exc_lead1m")))
-    ls = long.groupBy("feature", "eom").agg((leg(4) - leg(0)).alias("ls"))
-    return ls.groupBy("feature").agg(F.count("ls").alias("months"), r(F.avg("ls")).alias("mean"), r(stats.ratio(F.avg("ls"), F.stddev_samp("ls")), 5).alias("ratio"), r(F.avg((F.col("ls") > 0).cast("int"))).alias("hit_rate"))
+    long = cross.unpivot(rows, ["permno", "eom", "ret_exc_lead1m"], CHARACTERISTICS)
+    sided = cross.top_bottom(long, "value", ["feature", "eom"], 10, "permno")
+    held = sided.select("feature", series.next_month("eom").alias("month"), "permno", "side", (F.col("side") * F.lit(0.1)).alias("weight"), F.col("ret_exc_lead1m").alias("ret"), F.lit(None).cast("double").alias("beta_60m"))
+    out = report.headline(report.ledger(held, market(spark, folder), ("permno", "side"), ["feature"]), ["feature"])
+    return out.select("feature", r("ir", 5).alias("ir"), r("sharpe", 5).alias("sharpe"), r("ann_active", 5).alias("ann_active"), r("beta", 5).alias("beta"), r("avg_turnover", 5).alias("turnover"), r("max_dd", 5).alias("max_dd"))
 
 
 _YEARS = tuple(range(2015, 2027))
@@ -106,6 +117,28 @@ def lexicon_tone(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", ["doc_id", "text"]).where("text is not null").select("doc_id", count(GOOD).alias("good"), count(BAD).alias("bad"))
 
 
+def lexicon_model():
+    """A model for :func:`score_texts` that needs no weights: the lexicon's counts as scores of good, bad and neither."""
+    import re
+
+    import numpy as np
+
+    patterns = [re.compile(r"\b(?:" + "|".join(words) + ")", re.A) for words in (GOOD, BAD)]
+    return lambda texts: np.array([[*[len(p.findall(t.lower())) for p in patterns], 0.0] for t in texts])
+
+
+_COUNT_SQL = "len(regexp_extract_all(lower(text), '\\b({w})'))"
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN {_COUNT_SQL.format(w='|'.join(GOOD))} END AS g, CASE WHEN regexp_matches(text, '\\S') THEN {_COUNT_SQL.format(w='|'.join(BAD))} END AS b FROM documents),
+e AS (SELECT *, greatest(g, b, 0) AS top FROM c)
+SELECT doc_id, {rs('exp(g - top) / (exp(g - top) + exp(b - top) + exp(-top))')} AS positive, {rs('exp(b - top) / (exp(g - top) + exp(b - top) + exp(-top))')} AS negative, {rs('exp(-top) / (exp(g - top) + exp(b - top) + exp(-top))')} AS neutral FROM e""")
+def scored_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of three classes from a model that is handed in; here a lexicon, as no weights can be had offline."""
+    out = score_texts(table(spark, folder, "documents", ["doc_id", "text"]), "text", lexicon_model, ["positive", "negative", "neutral"])
+    return out.select("doc_id", *[r(c).alias(c) for c in ("positive", "negative", "neutral")])
+
+
 @query(with_(f"SELECT permno, {ds('eom')} AS eom, n, {rs('tone_mean')} AS tone_mean, {rs('t - lag(t) OVER (PARTITION BY permno ORDER BY eom)')} AS change FROM (SELECT permno, eom, count(*) AS n, avg(tone) AS tone_mean, avg(tone) AS t FROM scores GROUP BY ALL)", "scores"))
 def tone_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Mean tone by security and month, and its change against the month with a score before."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneloom.operators import beta, book, cross, geometry, models, series, stats, text
@@ -201,22 +202,27 @@ def _years(grams: dict, year: int) -> tuple[list, list]:
     return train, [g for m, g in grams.items() if f"{year - 2}-01-01" <= m < f"{year}-01-01"]
 
 
+TEST_YEARS = range(2021, 2027)
+
+
 @query()
 def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """Out-of-sample rank correlation and explained share by year of linear models tuned on two validation years; all fits
-    from one pass of monthly sums."""
+    """Out-of-sample rank correlation and explained share by year of linear models tuned on two validation years; all fits from one
+    pass of monthly sums, all predictions from one more."""
     rows = _design(spark, folder)
     grams = models.month_grams(rows, _X, "target")
-    predictions = []
-    for year in range(2021, 2027):
-        train, valid = _years(grams, year)
-        fits = [models.tune(models.total(train), models.total(valid), f, a) for f, a in (("ols", [0.0]), ("ridge", [1.0, 10.0, 100.0, 1000.0]), ("lasso", [1e-5, 1e-4, 1e-3]), ("elastic", [1e-5, 1e-4, 1e-3]))]
-        test = rows.where((F.year("target_month") == year) & (F.col("target_month") <= F.lit("2026-08-31").cast("date")))
-        predictions.append(test.select("target_month", F.lit(year).alias("test_year"), "ret_exc_lead1m", *[models.linear(_X, f["weights"], f["intercept"]).alias(f["family"]) for f in fits]))
-    long = predictions[0]
-    for p in predictions[1:]:
-        long = long.unionByName(p)
-    long = cross.unpivot(long, ["target_month", "test_year", "ret_exc_lead1m"], ["ols", "ridge", "lasso", "elastic"], "model", "prediction")
+    fits = {}
+    for year in TEST_YEARS:
+        train, valid = (models.total(g) for g in _years(grams, year))
+        for family, alphas in (("ols", [0.0]), ("ridge", [1.0, 10.0, 100.0, 1000.0]), ("lasso", [1e-5, 1e-4, 1e-3]), ("elastic", [1e-5, 1e-4, 1e-3])):
+            fits[family, year] = models.tune(train, valid, family, alphas)
+
+    def predicted(family: str) -> Column:
+        return F.coalesce(*[F.when(F.col("test_year") == y, models.linear(_X, fits[family, y]["weights"], fits[family, y]["intercept"])) for y in TEST_YEARS])
+
+    families = sorted({f for f, _ in fits})
+    test = rows.withColumn("test_year", F.year("target_month")).where(F.col("test_year").isin(list(TEST_YEARS)) & (F.col("target_month") <= F.lit("2026-08-31").cast("date")))
+    long = cross.unpivot(test.select("target_month", "test_year", "ret_exc_lead1m", *[predicted(f).alias(f) for f in families]), ["target_month", "test_year", "ret_exc_lead1m"], families, "model", "prediction")
     r2 = long.where("ret_exc_lead1m is not null").groupBy("model", "test_year").agg(stats.oos_r2("prediction", "ret_exc_lead1m").alias("r2"))
     ic = stats.monthly_ic(long, "prediction", "ret_exc_lead1m", ["model", "test_year", "target_month"]).groupBy("model", "test_year").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("months"))
     return r2.join(ic, ["model", "test_year"])
@@ -224,21 +230,56 @@ def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def gated_blend(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights of signals that vary with standardised market states, by month: a ridge gate on validation months."""
-    state = state_frame(spark, folder).select("eom", "mkt_vol12", "disp")
-    fit = state.where("eom >= '2019-01-01' and eom < '2021-01-01'").agg(*[f(c).alias(f"{n}_{c}") for c in ("mkt_vol12", "disp") for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    for c in ("mkt_vol12", "disp"):
-        state = state.withColumn(c, (F.col(c) - fit[f"m_{c}"]) / (fit[f"s_{c}"] or 1.0))
-    rows = _design(spark, folder).join(F.broadcast(state), "eom")  # one row per month
-    signals = ["x_be_me", "x_ret_12_1", "x_gp_at"]
-    design = models.gate_design(signals, ["mkt_vol12", "disp"])
-    rows = rows.select("target_month", "target", *[v.alias(k) for k, v in design.items()])
-    grams = models.month_grams(rows.where("target_month >= '2019-01-01' and target_month < '2021-01-01'"), list(design), "target")
-    w, _ = models.fit_gate(grams)
-    coef = dict(zip(design, w))
-    by = state.where("eom >= '2020-12-31'")
-    out = [(F.lit(float(coef[s])) + F.lit(float(coef[f"{s}_x_mkt_vol12"])) * F.col("mkt_vol12") + F.lit(float(coef[f"{s}_x_disp"])) * F.col("disp")).alias(s) for s in signals]
-    return by.select(day(series.next_month("eom")).alias("target_month"), *out)
+    """Weights of signals that vary with standardised market states, by month: for each test year a ridge gate fitted, and states
+    standardised, on the two years before it. All gates come from one pass of monthly sums."""
+    signals, states = ["x_be_me", "x_ret_12_1", "x_gp_at"], ["mkt_vol12", "disp"]
+    state = state_frame(spark, folder).select("eom", series.next_month("eom").alias("month"), *states)
+    known = [r for r in state.orderBy("month").collect() if all(r[c] is not None for c in states)]  # one row a month
+    rows = _design(spark, folder).join(F.broadcast(state.drop("month")), "eom")  # one row per month
+    design = models.gate_design(signals, states)
+    grams = models.month_grams(rows.select("target_month", "target", *[v.alias(k) for k, v in design.items()]), list(design), "target")
+    out = []
+    for year in TEST_YEARS:
+        valid = {m: g for m, g in grams.items() if f"{year - 2}-01-01" <= m < f"{year}-01-01"}
+        past = np.array([[r[c] for c in states] for r in known if year - 2 <= r["month"].year < year], float)
+        if len(valid) < 2 or len(past) < 2:
+            continue
+        mean, sd = past.mean(0), past.std(0, ddof=1)
+        t = models.standardised(len(signals), mean, sd)
+        w, _ = models.fit_gate({m: g.mapped(t) for m, g in valid.items()})
+        for r in known:
+            if r["month"].year == year:
+                z = (np.array([r[c] for c in states], float) - mean) / np.where(sd > 0, sd, 1.0)
+                out.append((str(r["month"]), year, *[float(w[k] + w[len(signals) + k * len(states) :][: len(states)] @ z) for k in range(len(signals))]))
+    return spark.createDataFrame(out, "target_month string, test_year int, " + ", ".join(f"{s} double" for s in signals))
+
+
+_ZS = lambda c: f"coalesce(CASE WHEN stddev_samp({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) END, 0)"
+
+
+@query(with_(f"""z AS (SELECT permno, eom, dolvol_126d, {', '.join(f'{_ZS(c)} AS z_{c}' for c in _Z)}, (coalesce(be_me, 0) + coalesce(gp_at, 0) + coalesce(ret_12_1, 0)) / 3 AS pred_ew_ret FROM panel WINDOW w AS (PARTITION BY eom)),
+e AS (SELECT *, (z_be_me + z_gp_at + z_ret_12_1) / 3 AS pred_ew, (z_be_me + z_gp_at) / 2 AS pred_ew_notext FROM z)
+SELECT permno, {ds('eom')} AS eom, {rs('pred_ew')} AS pred_ew, {rs('pred_ew_notext')} AS pred_ew_notext, {rs('pred_ew_ret')} AS pred_ew_ret, {rs(f"({_ZS('pred_ew')} + {_ZS('dolvol_126d')}) / 2")} AS pred_blend FROM e WINDOW w AS (PARTITION BY eom)""", "panel"))
+def four_blends(spark: SparkSession, folder: str) -> DataFrame:
+    """The equal-weight blends over three characteristics as specialists, the last as the text one, and a fourth as the tree model."""
+    rows = models.blends(panel(spark, folder, *_Z, "dolvol_126d"), _Z, ["ret_12_1"], _Z, "dolvol_126d")
+    return rows.select("permno", day("eom").alias("eom"), *[r(c).alias(c) for c in ("pred_ew", "pred_ew_notext", "pred_ew_ret", "pred_blend")])
+
+
+_IVP = f"coalesce(({rank_sql('ivol_capm_252d')}) / nullif(count(ivol_capm_252d) OVER (PARTITION BY eom), 0), 0.5)"
+
+
+@query(with_(f"""p AS (SELECT *, {_IVP} AS ivp FROM panel),
+f AS (SELECT *, 1.0 + 0.2 * ivp + CASE gics2 WHEN '10' THEN 0.1 WHEN '45' THEN -0.05 ELSE 0 END AS prior, 1 / 0.3 + CASE WHEN beta_60m IS NULL THEN 0 ELSE 1 / 0.2 END + CASE WHEN at_be IS NULL THEN 0 ELSE 1 / 0.5 END AS w FROM p),
+m AS (SELECT 'blume' AS model, permno, eom, coalesce(beta_60m * 0.67 + 0.33, 1.0) AS beta, 0.0 AS beta_var FROM f
+  UNION ALL SELECT 'a15', permno, eom, 0.31 + 0.56 * coalesce(CASE WHEN at_be IS NOT NULL THEN greatest(least(at_be, 4.0), -1.0) END * 0.6 + 0.4, beta_60m * 0.67 + 0.33, 1.25) + 0.25 * ivp, 0.0 FROM f
+  UNION ALL SELECT 'fusion', permno, eom, (prior / 0.3 + coalesce({_cal_sql('beta_60m')} / 0.2, 0) + coalesce({_cal_sql('at_be')} / 0.5, 0)) / w, 1 / w FROM f)
+SELECT model, permno, {ds('eom')} AS eom, {rs('beta')} AS beta, {rs('CAST(beta_var AS DOUBLE)')} AS beta_var FROM m""", "panel"))
+def beta_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Three models by name; ``at_be`` stands in for the first estimator of the chain, which the tables lack."""
+    rows = panel(spark, folder, "beta_60m", "at_be", "ivol_capm_252d", "gics2").withColumn("ivp", cross.percent_rank("ivol_capm_252d", ["eom"]))
+    made = [beta.estimate(rows, m, FIXED, first="at_be").select(F.lit(m).alias("model"), "permno", day("eom").alias("eom"), r("beta").alias("beta"), r("beta_var").alias("beta_var")) for m in ("blume", "a15", "fusion")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paneloom.operators import beta, book, cross, geometry, models, report, series, stats
 from paneloom.operators import choice
+from paneloom.operators.scoring import embed_texts, score_texts
 from paneloom.sources.files import cache_or_compute, footers, read_csv, schema_table, write_chunks, write_json, write_submission
 from paneloom.streaming.windows import daily_features, event_stream, run_to_end
 
@@ -233,6 +234,57 @@ def test_gram_models(spark):
     assert models.stability(grams, 0.2, 10)[1] < 0.2
 
 
+def test_gate_sums_with_other_states(spark):
+    """Sums with raw states, mapped, are those of the design with standardised ones."""
+    rng = np.random.default_rng(11)
+    z, s, y = rng.normal(size=(200, 2)), rng.normal(3, 2, size=(200, 2)), rng.normal(size=200)
+    raw = np.concatenate([z, (z[:, :, None] * s[:, None, :]).reshape(200, 4)], 1)
+    mean, sd = s.mean(0), s.std(0)
+    want = np.concatenate([z, (z[:, :, None] * ((s - mean) / sd)[:, None, :]).reshape(200, 4)], 1)
+    gram = lambda x: models.Gram(200, x.sum(0), y.sum(), x.T @ x, x.T @ y, y @ y)
+    got = gram(raw).mapped(models.standardised(2, mean, sd))
+    assert np.allclose(got.xx, want.T @ want) and np.allclose(got.xy, want.T @ y) and np.allclose(got.sx, want.sum(0))
+    assert list(models.gate_design(["a", "b"], ["s", "t"])) == ["a", "b", "a_x_s", "a_x_t", "b_x_s", "b_x_t"]
+
+
+def test_models_by_name(spark):
+    df = spark.createDataFrame([(1, END(2020, 1), 2.0, 3.0, 0.5), (2, END(2020, 1), None, None, None)], "permno int, eom date, beta_60m double, betabab_1260d double, ivol_capm_252d double")
+    assert column(beta.estimate(df, "blume"), "beta", "permno") == pytest.approx([1.67, 1.0])
+    assert column(beta.estimate(df, "a15"), "beta", "permno") == pytest.approx([0.31 + 0.56 * 2.2 + 0.25, 0.31 + 0.56 * 1.25 + 0.125])
+    c = beta.Calibration({"beta_60m": (0.0, 1.0, -9.0, 9.0, 0.5)}, {"constant": 1.0}, 1.0)
+    assert column(beta.estimate(df, "fusion", c), "beta", "permno") == column(beta.estimate(df, "kalman", c), "beta", "permno") == pytest.approx([5 / 3, 1.0])
+    for name, given in (("other", c), ("fusion", None)):
+        with pytest.raises(ValueError):
+            beta.estimate(df, name, given)
+
+
+def count_model():
+    return lambda texts: np.array([[t.count("a"), t.count("b")] for t in texts], float)
+
+
+def token_model():
+    def run(texts):
+        width = max(len(t.split()) for t in texts)
+        mask = np.array([[1] * len(t.split()) + [0] * (width - len(t.split())) for t in texts])
+        hidden = np.array([[[len(w), 1.0] for w in t.split()] + [[99.0, 99.0]] * (width - len(t.split())) for t in texts], float).reshape(len(texts), width, 2)
+        return hidden, mask
+
+    return run
+
+
+def test_scores_and_embeddings_of_texts(spark):
+    data = [(1, "a a b", "x"), (2, None, "x"), (3, "  ", "x"), (4, "b" * 100_000, "x"), (4, "b" * 100_000, "x"), (5, "aa bbbb", None)]
+    df = spark.createDataFrame(data, "i int, text string, good string")
+    out = score_texts(df, "text", count_model, ["good", "bad"], batch=2)
+    assert out.columns == ["i", "good", "_good", "bad"]
+    got = sorted(((r["i"], r["_good"], r["bad"]) for r in out.collect()), key=lambda r: r[0])
+    e = math.e
+    assert got[0] == (1, pytest.approx(e / (e + 1)), pytest.approx(1 / (e + 1))) and got[1] == (2, None, None) and got[2] == (3, None, None) and got[3] == got[4] == (4, 0.0, 1.0)
+    vectors = {r["i"]: r["embedding"] for r in embed_texts(df, "text", token_model, batch=2).collect()}
+    assert vectors == {1: [1.0, 1.0], 2: None, 3: None, 4: [100_000.0, 1.0], 5: [3.0, 1.0]}
+    assert score_texts(df.limit(0), "text", count_model, ["p", "q"]).count() == 0
+
+
 def test_fusion_and_filter(spark):
     c = beta.Calibration({"a": (0.0, 1.0, -9.0, 9.0, 0.5), "b": (0.0, 1.0, -9.0, 9.0, 1.0)}, {"constant": 1.0}, 1.0, 0.9, 0.1)
     df = spark.createDataFrame([(1, END(2020, 1), None, None), (1, END(2020, 2), 2.0, None), (1, END(2020, 3), 2.0, 3.0), (2, END(2020, 1), 2.0, None)], "permno int, eom date, a double, b double")
