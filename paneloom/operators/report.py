@@ -27,15 +27,16 @@ def turnover(book: DataFrame, keys: Sequence[str] = ("permno",), by: Sequence[st
 def ledger(book: DataFrame, market: DataFrame, keys: Sequence[str] = ("permno",), by: Sequence[str] = (), cost_bps: float = COST_BPS, hurdle: float = HURDLE) -> DataFrame:
     """One accounting row per month of ``book`` (``month, weight, ret, beta_60m`` and ``keys``), for each of ``by`` if there are several.
 
-    Missing returns and unknown betas count as zero. The book earns the cash rate, its legs' excess returns and, on its net
+    Missing returns and unknown betas count as zero; returns of a leg and the net exposure have twelve digits, so that the order of summation decides
+    nothing (legs that hold the same cancel exactly). The book earns the cash rate, its legs' excess returns and, on its net
     exposure, what the other cash rate that the returns are in excess of is above it (nothing where that rate is unknown).
     The benchmark is the cash rate with a twelfth of the yearly hurdle; ``active_ret`` is against it. Turnover is one-way and of a gross exposure
     of 2; in the ``first_month`` the whole book counts as bought.
     """
     w, x = F.col("weight"), F.col("weight") * F.coalesce("ret", F.lit(0.0))
     by_month = book.groupBy(*by, "month").agg(
-        F.sum(F.when(w > 0, x).otherwise(0.0)).alias("long_ret"), F.sum(F.when(w < 0, x).otherwise(0.0)).alias("short_ret"), F.count(F.when(w > 0, 1)).alias("n_long"), F.count(F.when(w < 0, 1)).alias("n_short"),
-        F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.sum(w * F.coalesce("beta_60m", F.lit(0.0))).alias("beta_exante"), F.sum(F.when(F.col("ret").isNull(), F.abs(w)).otherwise(0.0)).alias("missing_ret_weight"),
+        F.round(F.sum(F.when(w > 0, x).otherwise(0.0)), 12).alias("long_ret"), F.round(F.sum(F.when(w < 0, x).otherwise(0.0)), 12).alias("short_ret"), F.count(F.when(w > 0, 1)).alias("n_long"), F.count(F.when(w < 0, 1)).alias("n_short"),
+        F.sum(F.abs(w)).alias("gross"), F.round(F.sum(w), 12).alias("net"), F.sum(w * F.coalesce("beta_60m", F.lit(0.0))).alias("beta_exante"), F.sum(F.when(F.col("ret").isNull(), F.abs(w)).otherwise(0.0)).alias("missing_ret_weight"),
     )
     rates = F.broadcast(market.select("month", "rf_m", "rf_pipe", "sp500_ret", "sp500_exret"))  # one row per month
     out = by_month.join(turnover(book, keys, by), [*by, "month"]).join(rates, "month").withColumn("ls_ret", F.col("long_ret") + F.col("short_ret"))

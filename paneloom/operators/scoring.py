@@ -1,7 +1,6 @@
 """Scores and embeddings of texts by a model that is handed in, as Arrow maps.
 
-The model is a factory without arguments: each Python worker calls it once and keeps what it returns. It gets lists of texts of
-similar length, so that padding to the longest of a batch is cheap, and never an empty one.
+The model is a factory without arguments, called once per task, in the worker. What it returns gets lists of texts of similar length, so that padding to the longest of a batch is cheap, and never an empty one.
 """
 
 from __future__ import annotations
@@ -15,15 +14,6 @@ from pyspark.sql import types as T
 
 from paneloom.functions.columns import fresh
 
-_models: dict[Callable, Callable] = {}
-
-
-def _loaded(factory: Callable[[], Callable]) -> Callable:
-    if factory not in _models:
-        _models[factory] = factory()
-    return _models[factory]
-
-
 def _by_length(texts: list[str | None], batch: int) -> Iterator[np.ndarray]:
     """Places of the texts that have a character other than blanks, shortest first, ``batch`` at a time."""
     some = np.array([i for i, t in enumerate(texts) if t and not t.isspace()], int)
@@ -41,7 +31,7 @@ def score_texts(df: DataFrame, text: str, factory: Callable[[], Callable[[list[s
     schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(factory)
+        model = factory()
         for b in batches:
             texts = b.column(0).to_pylist()
             out = np.full((len(texts), len(made)), np.nan)
@@ -63,7 +53,7 @@ def embed_texts(df: DataFrame, text: str, factory: Callable[[], Callable[[list[s
     schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(factory)
+        model = factory()
         for b in batches:
             texts = b.column(0).to_pylist()
             out: list[list[float] | None] = [None] * len(texts)

@@ -97,9 +97,9 @@ book AS (SELECT last_day(eom + INTERVAL 1 DAY) AS month, eom, permno, 1 AS side,
   UNION ALL SELECT last_day(eom + INTERVAL 1 DAY), eom, permno, -1, -0.1, ret_exc_lead1m, ticker, company_name, me, dolvol_126d, size_grp, beta_60m, gics2 FROM book_side WHERE down <= 10)""",
     "ledger": """changes AS (SELECT coalesce(a.month, last_day(b.month + INTERVAL 1 DAY)) AS month, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS moved
   FROM book a FULL JOIN book b ON a.permno = b.permno AND a.side = b.side AND a.month = last_day(b.month + INTERVAL 1 DAY) GROUP BY 1),
-legs AS (SELECT month, coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight > 0), 0) AS long_ret, coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight < 0), 0) AS short_ret, count(*) FILTER (weight > 0) AS n_long, count(*) FILTER (weight < 0) AS n_short,
-    sum(abs(weight)) AS gross, sum(weight) AS net, sum(weight * coalesce(beta_60m, 0)) AS beta_exante, coalesce(sum(abs(weight)) FILTER (ret IS NULL), 0) AS missing_ret_weight FROM book GROUP BY month),
-paid AS (SELECT l.*, long_ret + short_ret AS ls_ret, 0.5 * moved / 2.0 AS turnover, 10 / 10000.0 * moved AS cost, rf_m, sp500_ret, sp500_exret, rf_m + long_ret + short_ret + coalesce(net * (rf_pipe - rf_m), 0) AS total_ret, rf_m + 0.04 / 12 AS bench_ret, month = (SELECT min(month) FROM legs) AS first_month
+legs AS (SELECT month, round(coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight > 0), 0), 12) AS long_ret, round(coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight < 0), 0), 12) AS short_ret, count(*) FILTER (weight > 0) AS n_long, count(*) FILTER (weight < 0) AS n_short,
+    sum(abs(weight)) AS gross, round(sum(weight), 12) AS net, sum(weight * coalesce(beta_60m, 0)) AS beta_exante, coalesce(sum(abs(weight)) FILTER (ret IS NULL), 0) AS missing_ret_weight FROM book GROUP BY month),
+paid AS (SELECT l.*, long_ret + short_ret AS ls_ret, 0.5 * moved / 2.0 AS turnover, 10 / 10000.0 * moved AS cost, rf_m, sp500_ret, sp500_exret, rf_m + (long_ret + short_ret) + coalesce(net * (rf_pipe - rf_m), 0) AS total_ret, rf_m + 0.04 / 12 AS bench_ret, month = (SELECT min(month) FROM legs) AS first_month
   FROM legs l JOIN changes USING (month) JOIN (SELECT CAST(eom AS DATE) AS month, rf_m, rf_pipe, sp500_ret, sp500_exret FROM market_monthly) USING (month)),
 ledger AS (SELECT *, total_ret - bench_ret AS active_ret, total_ret - cost AS total_ret_net, total_ret - bench_ret - cost AS active_ret_net FROM paid)""",
 }

@@ -56,7 +56,7 @@ _LEGS = "lb AS (SELECT feature, eom, permno, y AS ret, row_number() OVER (PARTIT
 b AS (SELECT feature, last_day(eom + INTERVAL 1 DAY) AS month, permno, 1 AS side, 0.1 AS weight, ret FROM lb WHERE up <= 10 UNION ALL SELECT feature, last_day(eom + INTERVAL 1 DAY), permno, -1, -0.1, ret FROM lb WHERE down <= 10),
 ch AS (SELECT coalesce(a.feature, o.feature) AS feature, coalesce(a.month, last_day(o.month + INTERVAL 1 DAY)) AS month, sum(abs(coalesce(a.weight, 0) - coalesce(o.weight, 0))) AS moved
   FROM b a FULL JOIN b o ON a.feature = o.feature AND a.permno = o.permno AND a.side = o.side AND a.month = last_day(o.month + INTERVAL 1 DAY) GROUP BY 1, 2),
-t AS (SELECT feature, month, sum(weight * coalesce(ret, 0)) AS ls, sum(weight) AS net FROM b GROUP BY ALL),
+t AS (SELECT feature, month, round(coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight > 0), 0), 12) + round(coalesce(sum(weight * coalesce(ret, 0)) FILTER (weight < 0), 0), 12) AS ls, round(sum(weight), 12) AS net FROM b GROUP BY ALL),
 r AS (SELECT feature, month, rf_m, sp500_exret, rf_m + ls + coalesce(net * (rf_pipe - rf_m), 0) AS total, ls + coalesce(net * (rf_pipe - rf_m), 0) - 0.04 / 12 AS active, moved / 4 AS turnover, month = min(month) OVER (PARTITION BY feature) AS first_month
   FROM t JOIN ch USING (feature, month) JOIN (SELECT CAST(eom AS DATE) AS month, rf_m, rf_pipe, sp500_exret FROM market_monthly) USING (month)),
 w AS (SELECT *, product(1 + total) OVER (PARTITION BY feature ORDER BY month ROWS UNBOUNDED PRECEDING) AS w FROM r),

@@ -35,6 +35,7 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     got = Counter(tuple(map(norm, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+    assert not any("nan" in r for r in got), "NaN is no result: nulls are"
     if name not in registry.ORACLE:
         assert columns
         return
